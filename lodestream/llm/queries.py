@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm.grouping import person_groups
+from lodestream.llm.leakage import find_leaks, leaked_items
 from lodestream.sources.tables import table
 
 
@@ -12,5 +13,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return person_groups(table(spark, sf_dir, "person_records"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found,)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p8_found, p8_items)}
 SQL: dict[str, str] = {}
