@@ -1,8 +1 @@
 """Signal, identity and ownership analytics expressed as Spark DataFrame plans."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions travel to the executors by value: the package need not be installed there
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
