@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm.grouping import person_groups
 from lodestream.llm.leakage import find_leaks, leaked_items
+from lodestream.llm.names import variant_pairs
 from lodestream.llm.pii import pii_pieces, replace_pii
 from lodestream.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(table(spark, sf_dir, "entities"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_pieces(table(spark, sf_dir, "signals")).select("delivery_no", "pii_kind", "nth")
 
@@ -30,5 +35,5 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_replaced, p7_found, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_replaced, p7_found, p8_found, p8_items)}
 SQL: dict[str, str] = {}
