@@ -22,7 +22,8 @@ CYCLE = "cycle"
 
 
 def _coin(node: str, round_no: int):
-    return F.xxhash64(F.col(node), F.lit(round_no)).bitwiseAND(F.lit(1))
+    # the round as a string, so that every round compiles to the same code
+    return F.xxhash64(F.col(node), F.lit(f"r{round_no}")).bitwiseAND(F.lit(1))
 
 
 def _round(live: DataFrame, round_no: int) -> DataFrame:
