@@ -35,7 +35,8 @@ def _strip_round(edges: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame,
     # of two leaves that face each other, the larger one leaves
     mutual = ends.join(ends.select(F.col("y").alias("x"), F.col("x").alias("y"), F.lit(1).alias("m")), ["x", "y"], "left")
     gone_leaves = mutual.where("m IS NULL OR x > y").select(F.col("x").alias("v"), F.col("y").alias("onto"), F.lit(1).alias("kind"))
-    rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(round_no)), F.col(c))
+    salt = F.lit(f"r{round_no}")  # a string, so that every round compiles to the same code
+    rank = lambda c: F.struct(F.xxhash64(F.col(c), salt), F.col(c))
     chains = degree.where("deg = 2").where((rank("v") > rank("a")) & (rank("v") > rank("b")))
     chains = chains.join(ends.select(F.col("y").alias("v")).distinct(), "v", "left_anti")
     gone_chains = chains.select("v", F.col("a").alias("onto"), F.lit(2).alias("kind"), "b")
@@ -76,11 +77,10 @@ def connected_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) ->
     """
     links = pairs.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
     edges = materialize(links.select(*_pair(F.col("x"), F.col("y"))).distinct(), "edges")
+    # stripping and splicing never add to a vertex's degree, so this list holds for all rounds
+    hot = hot_keys(_both_ways(edges), "v")
     history, core = [], edges
     for k in range(max_rounds):
-        size = core.count()
-        if not size:
-            break
         removed, left, degree = _strip_round(core, k)
         if removed.isEmpty():
             break
@@ -88,28 +88,21 @@ def connected_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) ->
         before, core = core, materialize(left, "edges")
         release(before)
         release(degree)
-    roots = materialize(_solve_core(core), "labels") if not core.isEmpty() else None
+    empty = edges.select(F.col("u").alias("v"), F.col("u").alias("root")).where("false")
+    known = empty if core.isEmpty() else materialize(_solve_core(core), "labels")
     for removed in reversed(history):
-        chains, leaves = removed.where("kind = 2").select("v", "onto"), removed.where("kind = 1").select("v", "onto")
-        # an endpoint that nothing else labels is the last vertex of its component: its own root
-        known = roots
-        if known is None:
-            known = chains.select(F.col("onto").alias("v")).unionByName(leaves.select(F.col("onto").alias("v"))).distinct().join(removed.select("v"), "v", "left_anti").select("v", F.col("v").alias("root"))
-        else:
-            onto = chains.select(F.col("onto").alias("v")).unionByName(leaves.select(F.col("onto").alias("v"))).distinct()
-            fresh = onto.join(removed.select("v"), "v", "left_anti").join(known.select("v"), "v", "left_anti")
-            known = known.unionByName(fresh.select("v", F.col("v").alias("root")))
-        for part in (chains, leaves):
-            label = known.select(F.col("v").alias("onto"), "root")
-            known = known.unionByName(join_unique(part, label, "onto", hot_keys(part, "onto")).select("v", "root"))
-        before, roots = roots, materialize(known, "labels")
-        if before is not None:
-            release(before)
+        part = removed.select("v", "onto", "kind")
+        # an end that is neither removed nor labelled is the last vertex of its component: its own root
+        fresh = part.select(F.col("onto").alias("v")).distinct().join(part.select("v").unionByName(known.select("v")), "v", "left_anti")
+        labelled = known.unionByName(fresh.select("v", F.col("v").alias("root")))
+        for kind in (2, 1):
+            label = labelled.select(F.col("v").alias("onto"), "root")
+            labelled = labelled.unionByName(join_unique(part.where(F.col("kind") == kind), label, "onto", hot).select("v", "root"))
+        before, known = known, materialize(labelled, "labels")
+        release(before)
         release(removed)
-    if roots is None:
-        return edges.select(F.col("u").alias("member"), F.col("u").alias("group_id")).where("false")
-    least = roots.groupBy("root").agg(F.min("v").alias("group_id"))
-    return join_unique(roots, least, "root", hot_keys(roots, "root")).select(F.col("v").alias("member"), "group_id")
+    least = known.groupBy("root").agg(F.min("v").alias("group_id"))
+    return join_unique(known, least, "root", hot_keys(known, "root")).select(F.col("v").alias("member"), "group_id")
 
 
 #: Local parts of mailboxes that belong to no single person.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm.grouping import person_groups
 from lodestream.llm.leakage import find_leaks, leaked_items
+from lodestream.llm.matching import match_records
 from lodestream.llm.names import variant_pairs
 from lodestream.llm.pii import pii_pieces, replace_pii
 from lodestream.sources.tables import table
@@ -23,6 +24,14 @@ def p2_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "signals")).select("delivery_no", "content")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_records(table(spark, sf_dir, "person_records")).select("record_a", "record_b")
+
+
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_records(table(spark, sf_dir, "person_records"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return person_groups(table(spark, sf_dir, "person_records"))
 
@@ -35,5 +44,5 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_replaced, p7_found, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_replaced, p5_found, p5_matches, p7_found, p8_found, p8_items)}
 SQL: dict[str, str] = {}
