@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestream.llm.grouping import person_groups
 from lodestream.llm.leakage import find_leaks, leaked_items
 from lodestream.llm.matching import match_records
+from lodestream.llm.mixing import mix_plan, mix_report, mixed_documents
 from lodestream.llm.names import variant_pairs
 from lodestream.llm.pii import pii_pieces, replace_pii
+from lodestream.llm.reading import reading_levels
 from lodestream.sources.tables import table
 
 
@@ -44,5 +46,22 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_replaced, p5_found, p5_matches, p7_found, p8_found, p8_items)}
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_report(mix_plan(table(spark, sf_dir, "documents"), targets), targets)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(mix_plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))).select("doc_id", "source", "n_tokens", "copy_no")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")).where("band = 4").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")).select("doc_id", "n_sentences", "difficulty", "band")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_replaced, p5_found, p5_matches, p7_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_levels)}
 SQL: dict[str, str] = {}
