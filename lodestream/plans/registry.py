@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lodestream.plans import problems
+from lodestream.plans import problems, text_queries
+
+_MODULES = (problems, text_queries)
 
 
 def queries():
-    return {**problems.QUERIES}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in _MODULES for name, sql in getattr(m, "SQL", {}).items()}
 
 
 def flagship(spark, sf_dir):
