@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestream.plans import problems, text_queries
+from lodestream.plans import graph_queries, problems, text_queries, vector_queries
 
-_MODULES = (problems, text_queries)
+_MODULES = (problems, text_queries, graph_queries, vector_queries)
 
 
 def queries():
