@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestream.plans import graph_queries, problems, text_queries, vector_queries
+from lodestream.plans import activity_queries, graph_queries, pipeline_queries, problems, source_queries, stream_queries, text_queries, vector_queries
 
-_MODULES = (problems, text_queries, graph_queries, vector_queries)
+_MODULES = (problems, pipeline_queries, text_queries, graph_queries, vector_queries, activity_queries, stream_queries, source_queries)
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return problems.p3_found(spark, sf_dir)
+    return pipeline_queries.surfaced_output(spark, sf_dir)
