@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm.grouping import person_groups
+from lodestream.llm.grouping import ROLE_LOCALS, person_groups
 from lodestream.llm.leakage import find_leaks, leaked_items
 from lodestream.llm.matching import match_records
 from lodestream.llm.mixing import mix_plan, mix_report, mixed_documents
@@ -64,4 +64,14 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_replaced, p5_found, p5_matches, p7_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_levels)}
-SQL: dict[str, str] = {}
+_DOMAIN = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+"
+_roles = "[" + ", ".join(f"'{r}'" for r in ROLE_LOCALS) + "]"
+SQL: dict[str, str] = {
+    "p7_found": rf"""
+WITH RECURSIVE t AS (SELECT record_id, lower(trim(x)) AS x FROM (SELECT record_id, unnest(list_concat([email], coalesce(aliases, []::VARCHAR[]))) AS x FROM person_records) WHERE x IS NOT NULL),
+a AS (SELECT DISTINCT record_id, CASE WHEN contains(x, '<') THEN trim(regexp_extract(x, '<([^<>]*)>', 1)) ELSE x END AS address FROM t),
+h AS (SELECT record_id, address FROM a WHERE regexp_full_match(address, '[^\s@<>]+@{_DOMAIN}') AND NOT list_contains({_roles}, split_part(address, '@', 1))),
+l AS (SELECT DISTINCT x.record_id AS u, y.record_id AS v FROM h x JOIN h y ON x.address = y.address AND x.record_id <> y.record_id),
+walk(v, root) USING KEY (v) AS (SELECT u, min(u) FROM l GROUP BY u UNION (SELECT l.v, min(w.root) FROM walk w JOIN l ON l.u = w.v JOIN recurring.walk r ON r.v = l.v WHERE w.root < r.root GROUP BY l.v))
+SELECT v AS record_id, root AS group_id FROM walk""",
+}
