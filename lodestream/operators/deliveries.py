@@ -42,7 +42,7 @@ def _meaning(key: str, value: Column) -> Column:
         number = word.try_cast("decimal(38,9)")
         return F.coalesce(number.cast("string"), word)
     if key in _INSTANTS:
-        return F.coalesce(F.unix_micros(word.try_cast("timestamp")).cast("string"), word)
+        return F.coalesce(F.unix_micros(F.upper(word).try_cast("timestamp")).cast("string"), word)
     return word
 
 

@@ -45,7 +45,7 @@ def _meaning(key: str) -> str:
     if key in ("ts", "edited_ts", "pr_number", "issue_number", "run_id", "sub_id"):
         return f"coalesce(try_cast({_json(key)} AS DECIMAL(38, 9))::VARCHAR, {_json(key)})"
     if key in ("updated_at", "starts_at"):
-        return f"coalesce(epoch_us(try_cast({_json(key)} AS TIMESTAMPTZ))::VARCHAR, {_json(key)})"
+        return f"coalesce(epoch_us(try_cast(upper({_json(key)}) AS TIMESTAMPTZ))::VARCHAR, {_json(key)})"
     return _json(key)
 
 
