@@ -94,6 +94,8 @@ def record_terms(name: str, emails: list[str], handles: list[str]) -> tuple[list
             if len(owner) > 3:
                 numbers.add(number)
                 terms[f"k:{owner}{number}"] = ""
+                if len(number) > 3:  # long numbers are given to namesakes, so initials beside one tell whose it is
+                    terms.update({f"k:{number} {min(_formal(g))[0]} {s[0]}": "" for g, s in own})
     for given, surname in people:
         if len(given) > 1 and len(surname) > 1:
             for g in _formal(given):
