@@ -74,13 +74,13 @@ def _share(parts: Column, pattern: str, unicode: bool) -> Column:
     return F.size(F.filter(parts, lambda s: s.rlike(_flags(unicode) + pattern))) / F.size(parts)
 
 
-def style_measures(text: Column, unicode: bool = True) -> dict[str, Column]:
+def style_measures(parts: Column, unicode: bool = True) -> dict[str, Column]:
     """Sentence-wise hedging, passives, nominalisations, specificity and the compression index from them.
 
-    A text without sentences has specificity 1 and all else 0.  ``unicode`` says whether letters
+    ``parts`` are the ``sentences`` of a text, best as a column of their own, for every measure
+    reads them.  A text without sentences has specificity 1 and all else 0.  ``unicode`` says whether letters
     beyond ASCII count as word characters.
     """
-    parts = sentences(text)
     some = F.size(parts) > 0
     hedging = F.when(some, _share(parts, phrase_pattern(HEDGES), unicode)).otherwise(0.0)
     passive = F.when(some, _share(parts, PASSIVE, unicode)).otherwise(0.0)
@@ -91,9 +91,8 @@ def style_measures(text: Column, unicode: bool = True) -> dict[str, Column]:
     return {"hedging": hedging, "passive": passive, "nominal": nominal, "specificity": specific, "compression": index}
 
 
-def temporal_orientation(text: Column, unicode: bool = True) -> Column:
-    """(forward - backward) / (forward + backward) sentences; 0 without either."""
-    parts = sentences(text)
+def temporal_orientation(parts: Column, unicode: bool = True) -> Column:
+    """(forward - backward) / (forward + backward) of the ``sentences`` of a text; 0 without either."""
     ahead = F.size(F.filter(parts, lambda s: s.rlike(_flags(unicode) + phrase_pattern(FORWARD))))
     back = F.size(F.filter(parts, lambda s: s.rlike(_flags(unicode) + phrase_pattern(BACKWARD))))
     return F.when(ahead + back > 0, (ahead - back) / (ahead + back)).otherwise(0.0)

@@ -78,21 +78,19 @@ def simhash(term_array: Column) -> Column:
     """64-bit SimHash of a set of terms: bit i is set where the terms' FNV-1a bits i are mostly set; null without terms."""
 
     def run(values: pd.Series) -> pd.Series:
-        lists = [list(v) if v is not None else [] for v in values]
-        flat = [t for v in lists for t in v]
-        vocabulary, index = np.unique(np.array(flat, dtype=object).astype(str), return_inverse=True) if flat else (np.array([]), np.array([], dtype=int))
-        bits = (fnv1a_array(list(vocabulary))[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) if len(vocabulary) else np.zeros((0, 64), dtype=np.uint64)
-        sign = bits.astype(np.int64) * 2 - 1
-        out, at = [], 0
-        weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        for v in lists:
-            if not v:
-                out.append(None)
-                continue
-            total = sign[index[at : at + len(v)]].sum(axis=0)
-            at += len(v)
-            out.append(int((weights[total > 0]).sum(dtype=np.uint64).astype(np.int64)))
-        return pd.Series(out, dtype="Int64")
+        lists = [v if v is not None else () for v in values]
+        size = np.array([len(v) for v in lists], dtype=np.int64)
+        out = pd.Series([None] * len(lists), dtype="Int64")
+        if not size.sum():
+            return out
+        index, vocabulary = pd.factorize(np.concatenate([np.asarray(v, dtype=object) for v in lists if len(v)]))
+        bits = np.unpackbits(fnv1a_array(list(vocabulary)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        some = np.flatnonzero(size)
+        at = np.concatenate([[0], np.cumsum(size[some])])
+        for k, row in enumerate(some):
+            ones = bits[index[at[k] : at[k + 1]]].sum(axis=0, dtype=np.int64)
+            out[row] = int(np.packbits(ones * 2 > size[row], bitorder="little").view(np.int64)[0])
+        return out
 
     return F.pandas_udf(run, "long")(term_array)
 

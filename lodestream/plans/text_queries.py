@@ -53,11 +53,17 @@ def term_df_topk(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
 SQL["term_df_topk"] = f"SELECT term, count(*) AS n_docs FROM ({SQL['terms_per_doc']}) GROUP BY term ORDER BY n_docs DESC, term LIMIT 100"
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", X.sentences(F.col("text")).alias("parts"))
+
+
 def style_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Style measures with ASCII word characters, as the SQL engine's patterns have them."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    measures = X.style_measures(F.col("text"), unicode=False)
-    return docs.select("doc_id", F.size(X.sentences(F.col("text"))).alias("n_sentences"), *[_R(c).alias(n) for n, c in measures.items()])
+    measures = X.style_measures(F.col("parts"), unicode=False)
+    parts = _sentences(spark, sf_dir).select("doc_id", F.size("parts").alias("n_sentences"), *[c.alias(n) for n, c in measures.items() if n != "compression"])
+    index = F.when(F.col("n_sentences") > 0, 0.3 * F.col("hedging") + 0.3 * F.col("passive") + 0.2 * F.col("nominal") + 0.2 * (1.0 - F.col("specificity"))).otherwise(0.0)
+    index = F.greatest(F.lit(0.0), F.least(F.lit(1.0), index))
+    return parts.select("doc_id", "n_sentences", *[_R(n).alias(n) for n in measures if n != "compression"], _R(index).alias("compression"))
 
 
 _n = "len(p)"
@@ -75,8 +81,7 @@ SELECT doc_id, n_sentences, round(hedging::DOUBLE, 6) AS hedging, round(passive:
 
 def style_index_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Style measures with Unicode word characters (the default of the library)."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", *[_R(c).alias(n) for n, c in X.style_measures(F.col("text")).items()])
+    return _sentences(spark, sf_dir).select("doc_id", *[_R(c).alias(n) for n, c in X.style_measures(F.col("parts")).items()])
 
 
 def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +96,7 @@ SELECT doc_id, len(t) AS n_tokens, round(CASE WHEN len(t) > 0 THEN len(list_dist
 
 
 def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", _R(X.temporal_orientation(F.col("text"), unicode=False)).alias("orientation"))
+    return _sentences(spark, sf_dir).select("doc_id", _R(X.temporal_orientation(F.col("parts"), unicode=False)).alias("orientation"))
 
 
 SQL["orientation"] = f"""

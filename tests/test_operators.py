@@ -89,5 +89,5 @@ def test_moving_average_equals_the_full_fold(spark):
 def test_text_expressions_on_odd_input(spark):
     texts = [None, "", " \n", "🙂", "ok", "a.b. C! <b>Bold</b> http://x.y 1.2.3 --- café CAFÉ", "word " * 50_000]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    got = {r["k"]: r for r in df.select("k", X.terms(F.col("t")).alias("terms"), F.size(X.sentences(F.col("t"))).alias("n"), X.token_entropy(X.words(F.col("t"))).alias("h"), *[c.alias(n) for n, c in X.style_measures(F.col("t")).items()]).collect()}
+    got = {r["k"]: r for r in df.select("k", X.terms(F.col("t")).alias("terms"), F.size(X.sentences(F.col("t"))).alias("n"), X.token_entropy(X.words(F.col("t"))).alias("h"), *[c.alias(n) for n, c in X.style_measures(X.sentences(F.col("t"))).items()]).collect()}
     assert got[1]["terms"] == [] and got[1]["specificity"] == 1.0 and got[5]["terms"] == ["a.b", "bold", "café"] and got[6]["terms"] == ["word"]
