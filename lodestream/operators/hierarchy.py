@@ -66,7 +66,7 @@ def contract_forest(links: DataFrame, parent_col: str, child_col: str, with_path
     empty = F.array().cast("array<string>")
     live = materialize(tree.select("node", "parent", F.lit(1).alias("links"), empty.alias("between")), "forest")
     roots = live.select(F.col("parent").alias("node")).distinct().join(live.select("node"), "node", "left_anti")
-    labels = materialize(roots.select("node", F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.array("node").alias("path")), "labels")
+    labels = roots.select("node", F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.array("node").alias("path"))
 
     hot = hot_keys(live, "parent")  # splicing never adds to a node's children, so the list holds for all rounds
 
@@ -82,15 +82,18 @@ def contract_forest(links: DataFrame, parent_col: str, child_col: str, with_path
         state = table.where("fate = 0")
         rounds += 1
 
+    # a contracted loop leaves in its round, but what hangs from it may leave later: loops are known from the start
+    for table in removed:
+        labels = labels.unionByName(table.where("fate = 2").select("node", F.lit(CYCLE).alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path")))
+    labels = materialize(labels, "labels")
+
     path = F.concat("path", "between", F.array("node")) if with_path else F.lit(None).cast("array<string>")
     for table in reversed(removed):
-        loops = table.where("fate = 2").select("node", F.lit(CYCLE).alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"))
-        top = labels.unionByName(loops)
-        above = top.withColumnRenamed("node", "parent")
+        above = labels.withColumnRenamed("node", "parent")
         below = join_unique(table.where("fate = 1").select("node", "parent", "links", "between"), above, "parent", hot)
         bad = F.col("root_id") == CYCLE
         new = below.select("node", "root_id", F.when(bad, -1).otherwise(F.col("depth") + F.col("links")).alias("depth"), F.when(~bad, path).alias("path"))
-        before, labels = labels, materialize(top.unionByName(new), "labels")
+        before, labels = labels, materialize(labels.unionByName(new), "labels")
         release(before)
         release(table)
     release(first)

@@ -50,6 +50,17 @@ def test_two_cycle_and_what_hangs_below(spark):
     assert {k: v[:2] for k, v in got.items()} == dict.fromkeys("abcd", ("cycle", -1))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_deep_trees_below_a_loop(spark, size):
+    """What hangs from a loop outlives it in the contraction; many loops see many coin flips."""
+    links = []
+    for k in range(12):
+        links += [(f"l{k}_{i}", f"l{k}_{(i + 1) % size}") for i in range(size)]
+        links += [(f"l{k}_0", f"t{k}_0")] + [(f"t{k}_{i}", f"t{k}_{i + 1}") for i in range(3 * k)] + [(f"t{k}_{i}", f"s{k}_{i}") for i in range(0, 3 * k, 2)]
+    got, _ = run(spark, links)
+    assert got == brute(links)
+
+
 def test_empty_table(spark):
     assert run(spark, [])[0] == {}
 
