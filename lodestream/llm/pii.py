@@ -175,7 +175,7 @@ def find_names(text: str) -> list[tuple[int, int]]:
                     stop, last = words[i + 1][1], i + 1
                 else:
                     stop, last = words[i][1] + 1, i
-            elif i < n and surname(i, upper) and (given or titled or not _NOT_BEFORE.search(text[:start])):
+            elif i < n and surname(i, upper) and (given or titled or not _NOT_BEFORE.search(text[max(0, start - 20) : start])):
                 stop, last = words[i][1], i
             elif titled and w.lower() not in OPENERS or given and (low not in WORDS_TOO or cued(start, end)) or _CUE_BEFORE.search(text[max(0, start - 80) : start]) and _CUE_AFTER.match(text, end) and surname(j, False):
                 stop = words[j][1]
@@ -195,10 +195,14 @@ def find_pii(text: str) -> list[tuple[int, int, str]]:
 
     def take(kind: str, spans: list[tuple[int, int]]) -> None:
         nonlocal shown
+        kept, at = [], 0
         for a, b in spans:
-            if "\x00" not in shown[a:b]:
+            if a >= at and "\x00" not in shown[a:b]:
                 out.append((a, b, kind))
-                shown = shown[:a] + "\x00" * (b - a) + shown[b:]
+                kept += [shown[at:a], "\x00" * (b - a)]
+                at = b
+        if kept:
+            shown = "".join([*kept, shown[at:]])
 
     if "@" in low or "(at" in low or "[at" in low or "( at" in low or "[ at" in low or "{at" in low or " at " in low and "dot" in low:
         take("EMAIL", find_emails(shown))
