@@ -23,6 +23,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lodestream-")
@@ -30,8 +32,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/lodestream/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/lodestream/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
@@ -49,6 +55,14 @@ def release(df: DataFrame) -> None:
     """Delete the table behind a materialized DataFrame that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables of this application: for when every result has been written."""
+    _delete(spark, _folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
