@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestream.llm.grouping import ROLE_LOCALS, connected_groups
 from lodestream.llm.names import FORMAL, fold
 from lodestream.llm.pii import FEMALE, MALE
-from lodestream.scratch import materialize
+from lodestream.scratch import materialize, release
 
 #: Calibration reads at most this many proven and disproven pairs each.
 CALIBRATION_PAIRS = 20_000
@@ -206,6 +206,8 @@ def match_records(records: DataFrame, least_confidence: float = 0.5) -> DataFram
     near = scored.join(best.select(F.col("r").alias("a"), F.col("s").alias("source_b"), F.col("best").alias("best_a")), ["a", "source_b"]).join(best.select(F.col("r").alias("b"), F.col("s").alias("source_a"), F.col("best").alias("best_b")), ["b", "source_a"])
     gap = F.greatest("best_a", "best_b") - F.col("score")
     near = materialize(near.withColumn("gap", gap), "near")
+    for table in (post, weighed, scored, best):
+        release(table)
 
     def sample(where: str, label: int) -> pd.DataFrame:
         return near.where(where).select("a", "b", "rest", "score", "gap").orderBy(F.xxhash64("a", "b")).limit(CALIBRATION_PAIRS).toPandas().assign(y=label)
@@ -222,6 +224,7 @@ def match_records(records: DataFrame, least_confidence: float = 0.5) -> DataFram
     confidence = F.when(F.col("proof"), F.greatest(1 / (1 + F.exp(-odds)), F.lit(0.95))).when(F.col("clash"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds)))
     sure = materialize(near.withColumn("confidence", confidence).where(F.col("confidence") >= least_confidence).select("a", "b", "source_a", "source_b", "confidence"), "sure")
 
+    release(near)
     groups = materialize(connected_groups(sure, "a", "b"), "people")
     weakest = sure.select(F.explode(F.array("a", "b")).alias("member"), "confidence").groupBy("member").agg(F.max("confidence").alias("own"))
     who = groups.join(weakest, "member").join(docs.select(F.col("record_id").alias("member"), "source"), "member")
