@@ -83,8 +83,8 @@ def near_duplicate_classes(prints: DataFrame, id_col: str, print_col: str, dista
     them, and every choice of that many is an index of its own, so that keys are 32 bits wide.
     Rows without fingerprint take no part; ``n_links`` counts the other fingerprints within the distance.
     """
-    rows = prints.where(F.col(print_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(print_col).alias("fp"))
-    rows = materialize(rows, "fingerprints")
+    # written before it is filtered: a filter on a Python column would be pushed below it and compute it twice
+    rows = materialize(prints.select(F.col(id_col).alias("id"), F.col(print_col).alias("fp")), "fingerprints").where("id IS NOT NULL AND fp IS NOT NULL")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "prints")
     edges = [64 * k // pieces for k in range(pieces + 1)]
     piece = [F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(pieces)]
