@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as X, vectors as V
-from lodestream.operators.similarity import near_duplicate_classes, nearest_exact, nearest_hashed
+from lodestream.operators.similarity import near_duplicate_classes, nearest_exact, nearest_in_cells
 from lodestream.sources.tables import table
 
 _R = lambda c, n=6: F.round(c, n)
@@ -29,9 +29,9 @@ SQL = {"cosine_topk": f"WITH {_V}, s AS (SELECT a.vec_id AS query_id, b.vec_id A
 
 
 def hashed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search through hyperplane buckets."""
+    """The same search through hyperplane buckets, none of which is passed over without proof."""
     rows = _vectors(spark, sf_dir)
-    return nearest_hashed(rows.where("vec_id % 100 = 0"), rows, "vec_id", "v", DIM, 5).select("query_id", "id", _R("cosine", 5).alias("cosine"), "rank")
+    return nearest_in_cells(rows.where("vec_id % 100 = 0"), rows, "vec_id", "v", DIM, 5).select("query_id", "id", _R("cosine", 5).alias("cosine"), "rank")
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,23 @@ def test_hashed_search_recall(spark, small):
     assert len(exact & hashed) >= 0.9 * len(exact)
 
 
+def test_registered_hashed_search_finds_the_nearest(spark, small):
+    from lodestream.plans import vector_queries as Q
+
+    exact = {(r["query_id"], r["id"]) for r in Q.cosine_topk(spark, small).collect()}
+    assert len(exact & {(r["query_id"], r["id"]) for r in Q.hashed_neighbours(spark, small).collect()}) >= 0.9 * len(exact)
+
+
+def test_buckets_are_passed_over_only_by_proof(spark):
+    rnd = np.random.RandomState(3)
+    centres = rnd.randn(12, 16)
+    vectors = [(k, (centres[k % 12] + 0.02 * rnd.randn(16)).tolist()) for k in range(600)] + [(600, [0.0] * 16), (601, centres[0].tolist())]
+    rows = spark.createDataFrame(vectors, "id long, v array<double>")
+    q = rows.where("id % 50 = 0")
+    exact, celled = ({(r["query_id"], r["id"], r["rank"]) for r in f.collect()} for f in (S.nearest_exact(q, rows, "id", "v", 5), S.nearest_in_cells(q, rows, "id", "v", 16, 5)))
+    assert exact == celled
+
+
 def test_hot_keys_and_join(spark):
     big = spark.range(40_000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id")
     hot = hot_keys(big, "k", least=100)
