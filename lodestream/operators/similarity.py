@@ -150,3 +150,29 @@ def near_duplicate_classes(prints: DataFrame, id_col: str, print_col: str, dista
     count = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     classes = distinct.join(roots, "rep", "left").join(count, "rep", "left").where("n > 1 OR root IS NOT NULL")
     return rows.join(classes.select("fp", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "fp").select("id", "class_id", "n_links")
+
+
+def shingle_classes(sets: DataFrame, id_col: str, set_col: str, tenths: int = 8) -> DataFrame:
+    """``(id, class_id, n_links)`` of every row whose set (an array without repeats) has a Jaccard of ``tenths`` / 10 or more with another row's.
+
+    Exact: two such sets share an element among the rarest ``size - ceil(size * tenths / 10) + 1`` of
+    each, so only those are joined, and every pair found is counted in whole.  Equal sets form one
+    class without being paired.  Rows with an empty set take no part; ``n_links`` counts the other sets linked.
+    """
+    rows = materialize(sets.select(F.col(id_col).alias("id"), F.array_sort(F.col(set_col)).alias("s")).where("id IS NOT NULL AND size(s) > 0").withColumn("key", F.sha2(F.to_json("s"), 256)), "sets")
+    distinct = materialize(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("s").alias("s")), "distinct")
+    items = distinct.select("rep", F.size("s").alias("k"), F.explode("s").alias("x"))
+    common = items.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = items.join(common, "x").groupBy("rep", "k").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o")).withColumn("least", F.expr(f"CAST(ceil(k * {tenths} / 10) AS INT)"))
+    # elements that no other set has are the rarest: they take up the first places of the prefix and join nothing
+    prefix = materialize(ranked.where("size(o) >= least").select("rep", "k", F.size("o").alias("m"), F.posexplode(F.expr("slice(o, 1, size(o) - least + 1)")["x"]).alias("p", "x")).withColumn("m", F.expr("m - p")), "prefixes")
+    one, two = (prefix.select("x", F.col("rep").alias(r), F.col("k").alias(f"k{r}"), F.col("m").alias(f"m{r}")) for r in "ab")
+    # from the first element that both have on, neither has more than m left to share
+    pairs = one.join(two, "x").where(f"a < b AND (10 + {tenths}) * least(ma, mb) >= {tenths} * (ka + kb)").select("a", "b").distinct()
+    both = pairs.join(distinct.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("k"), F.size(F.array_intersect("sa", "sb")).alias("c"))
+    links = materialize(both.where(f"(10 + {tenths}) * c >= {tenths} * k").select("a", "b"), "links")
+    roots = components(links, "a", "b").select(F.col("v").alias("rep"), "root")
+    count = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = distinct.join(roots, "rep", "left").join(count, "rep", "left").where("n > 1 OR root IS NOT NULL")
+    return rows.join(classes.select("key", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "key").select("id", "class_id", "n_links")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as X, vectors as V
-from lodestream.operators.similarity import near_duplicate_classes, nearest_exact, nearest_in_cells
+from lodestream.operators.similarity import near_duplicate_classes, nearest_exact, nearest_in_cells, shingle_classes
 from lodestream.sources.tables import table
 
 _R = lambda c, n=6: F.round(c, n)
@@ -126,9 +126,18 @@ def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(prints, "doc_id", "fp")
 
 
+def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose word five-grams (by their 64-bit hashes; a shorter text is one gram) have a Jaccard of 0.8 or more with another's."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    # the words are bound by a lambda: as a column they would be split again for every gram
+    grams = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " "))))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").where(F.size(words) > 0)
+    return shingle_classes(d.select("doc_id", F.array_distinct(F.flatten(grams)).alias("grams")), "doc_id", "grams")
+
+
 def term_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", V.feature_hash(X.terms(F.col("text"))).alias("v"))
     return d.select("doc_id", _R(F.element_at("v", 1)).alias("first"), _R(V.norm(F.col("v")), 5).alias("length"))
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, hashed_neighbours, label_centroids, activation_matrix, resonance_decisions, softmax_activations, hidden_couplings, complement_codes, unit_vectors, fnv1a_hash, simhash_classes, term_embeddings)}
+QUERIES = {f.__name__: f for f in (cosine_topk, hashed_neighbours, label_centroids, activation_matrix, resonance_decisions, softmax_activations, hidden_couplings, complement_codes, unit_vectors, fnv1a_hash, simhash_classes, jaccard_classes, term_embeddings)}

@@ -59,6 +59,28 @@ def test_near_duplicate_classes_are_exact(spark):
             assert got[k][1] == len(links[p])
 
 
+def test_changed_documents_are_classed_by_their_five_grams(spark, tmp_path):
+    from lodestream.plans import vector_queries as Q
+
+    rnd = random.Random(8)
+    texts = [[rnd.choice("abcdefghij") + str(rnd.randrange(300)) for _ in range(rnd.randrange(60, 140))] for _ in range(30)]
+    for t in texts[:30]:
+        for changed in (0, 1, 2, 3):
+            u = list(t)
+            for k in rnd.sample(range(len(u)), changed):
+                u[k] = "new" + str(rnd.randrange(1000))
+            texts.append(u)
+    texts += [["one", "two"], ["one", "two"], ["three"]]
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(999, None), (998, " .")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = [frozenset(" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))) for t in texts]
+    links = {k: {h for h in grams if h != g and 10 * len(g & h) >= 8 * len(g | h)} for k, g in enumerate(grams)}
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in Q.jaccard_classes(spark, str(tmp_path)).collect()}
+    assert {k: len(h) for k, h in links.items() if h or grams.count(grams[k]) > 1} == {k: n for k, (_, n) in got.items()}
+    assert all(got[j][0] == got[k][0] for k in got for j in got if grams[j] in links[k] or grams[j] == grams[k])
+    simhash = {r["id"] for r in Q.simhash_classes(spark, str(tmp_path)).collect()}
+    assert sum(1 for k, h in links.items() if h and k not in simhash) > 0
+
+
 def test_hashed_search_recall(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
     q = rows.where("vec_id % 100 = 0")
