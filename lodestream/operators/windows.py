@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators.skew import hot_keys
+
 
 def latest_rows(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The ``n`` latest rows of every key (by ``order``, all ascending)."""
@@ -19,6 +21,31 @@ def latest_rows(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
+def step_runs(df: DataFrame, key: str, order: list[str], value: str, least: int = 10_000, ranges: int = 64) -> DataFrame:
+    """``(key, gram, n)``: the multiset of the one- to three-step runs of ``value`` (a string without nulls) along ``order``.
+
+    Keys that are hot (``skew.hot_keys`` with ``least``) are split into ``ranges`` of their first
+    order column; runs across a border are counted from the two rows on either side of it.
+    """
+    hot = hot_keys(df, key, least)
+    rows, is_hot = df.select(key, *order, value).withColumn("__r", F.lit(0)), F.col(key).isin(hot)
+    if hot:
+        bounds = df.where(is_hot).groupBy(key).agg(F.percentile_approx(order[0], [k / ranges for k in range(1, ranges)]).alias("__b"))
+        rows = df.select(key, *order, value).join(F.broadcast(bounds), key, "left").withColumn("__r", F.coalesce(F.size(F.filter("__b", lambda b: b < F.col(order[0]))), F.lit(0))).drop("__b")
+        rows = rows.withColumn("__r", F.when(is_hot, F.col("__r")).otherwise(0))
+    part = Window.partitionBy(key, "__r").orderBy(*order)
+    ahead = lambda c, n, w: F.lead(c, n).over(w)
+    seen = rows.select("*", ahead(value, 1, part).alias("__2"), ahead(value, 2, part).alias("__3"), F.lag(value, 2).over(part).alias("__back"))
+    two, three = F.concat(value, F.lit(">"), "__2"), F.concat(value, F.lit(">"), "__2", F.lit(">"), "__3")
+    runs = seen.select(key, F.explode(F.array(F.col(value), two, three)).alias("gram"))
+    if hot:
+        whole = Window.partitionBy(key).orderBy(*order)
+        ends = seen.where(is_hot & (F.col("__3").isNull() | F.col("__back").isNull())).select(key, "__r", *order, value)
+        ends = ends.select("*", *[ahead(c, n, whole).alias(f"{a}{n + 1}") for n in (1, 2) for c, a in ((value, "__"), ("__r", "__r"))])
+        runs = runs.unionByName(ends.select(key, F.explode(F.array(F.when(F.col("__r") != F.col("__r2"), two), F.when(F.col("__r") != F.col("__r3"), three))).alias("gram")))
+    return runs.where("gram IS NOT NULL").groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 def memory_of(alpha: float, precision: float = 1e-17) -> int:
     """After how many rows an exponential average of weight ``alpha`` has forgotten to double precision."""
     return max(2, math.ceil(math.log(precision) / math.log(1 - alpha)))

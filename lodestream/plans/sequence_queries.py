@@ -12,7 +12,7 @@ from lodestream.plans.text_queries import sql_terms
 from lodestream.sources.tables import table
 
 _R = lambda c, n=6: F.round(c, n)
-#: A sequence is read over the latest so many steps of its key.
+#: The SQL of step_ngrams and sequence_similarity reads only the latest so many steps of a user; the queries read all.
 STEPS = 50
 
 
@@ -33,11 +33,8 @@ SQL = {
 
 
 def _grams(spark, sf_dir):
-    """Per user, the multiset of the one- to three-step runs among the latest steps: ``(user_id, gram, n)``."""
-    recent = W.latest_rows(_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], STEPS)
-    steps = recent.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda s: s["event_type"]).alias("s"))
-    run = lambda n: F.when(F.size("s") >= n, F.transform(F.sequence(F.lit(1), F.size("s") - n + 1), lambda i: F.array_join(F.slice("s", i, n), ">"))).otherwise(F.array().cast("array<string>"))
-    return steps.select("user_id", F.explode(F.concat(run(1), run(2), run(3))).alias("gram")).groupBy("user_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    """Per user, the multiset of the one- to three-step runs among all steps: ``(user_id, gram, n)``."""
+    return W.step_runs(_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
 
 
 _GRAMS = f"""r AS (SELECT user_id, event_type, ts, event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= {STEPS}),
