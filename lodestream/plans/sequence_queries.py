@@ -77,10 +77,13 @@ SQL["weekday_baseline"] = "WITH p AS (SELECT source, CAST(received_at AS DATE) A
 
 def next_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every signal, the author's next one in another source within an hour (an interval join without pairing)."""
-    s = table(spark, sf_dir, "signals").where("author IS NOT NULL AND received_at IS NOT NULL").select("delivery_no", F.lower(F.regexp_replace("author", "^@", "")).alias("author"), "source", F.unix_micros("received_at").alias("us"))
-    w = Window.partitionBy("author").orderBy("us", "delivery_no")
-    n = s.select("*", F.lead("source").over(w).alias("next_source"), F.lead("us").over(w).alias("next_us"))
-    return n.where("next_source <> source AND next_us - us <= 3600000000").groupBy("source", "next_source").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("next_us") - F.col("us")).alias("least_us"))
+    s = table(spark, sf_dir, "signals").where("author IS NOT NULL AND source IS NOT NULL AND received_at IS NOT NULL").select("delivery_no", F.lower(F.regexp_replace("author", "^@", "")).alias("author"), "source", F.unix_micros("received_at").alias("us"))
+    # from the latest on, so that the start of the next run of one source is the last start seen
+    w = Window.partitionBy("author").orderBy(F.desc("us"), F.desc("delivery_no"))
+    start = F.when(~F.col("source").eqNullSafe(F.lead("source").over(w)), F.struct("source", "us"))
+    n = s.withColumn("start", start).withColumn("next", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    n = n.select("source", F.col("next.source").alias("next_source"), "us", F.col("next.us").alias("next_us"))
+    return n.where("next_us - us <= 3600000000").groupBy("source", "next_source").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("next_us") - F.col("us")).alias("least_us"))
 
 
 SQL["next_elsewhere"] = "WITH s AS (SELECT delivery_no, lower(regexp_replace(author, '^@', '')) AS author, source, epoch_us(received_at) AS us FROM signals WHERE author IS NOT NULL AND received_at IS NOT NULL), n AS (SELECT *, lead(source) OVER w AS next_source, lead(us) OVER w AS next_us FROM s WINDOW w AS (PARTITION BY author ORDER BY us, delivery_no)) SELECT source, next_source, count(*) AS n, min(next_us - us) AS least_us FROM n WHERE next_source <> source AND next_us - us <= 3600000000 GROUP BY 1, 2"

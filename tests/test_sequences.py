@@ -31,3 +31,20 @@ def test_step_ngrams_count_all_events(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/events.parquet").where("user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL").select("user_id", "ts", "event_id", "event_type").collect()]
     want = sum((_runs(s) for s in _steps(rows).values()), Counter())
     assert {r["gram"]: r["n"] for r in Q.step_ngrams(spark, small).collect()} == dict(want)
+
+
+def test_next_elsewhere_looks_past_the_same_source(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(k, rnd.choice(["@Ann", "ann", "bob", None]), rnd.choice(["chat", "mail", "code", None]), rnd.randrange(200_000)) for k in range(400)]
+    spark.createDataFrame(rows, "delivery_no long, author string, source string, t long").select("delivery_no", "author", "source", F.timestamp_seconds("t").alias("received_at")).write.parquet(f"{tmp_path}/signals.parquet")
+    by = {}
+    for k, author, source, t in rows:
+        if author and source:
+            by.setdefault(author.lstrip("@").lower(), []).append((t, k, source))
+    want = {}
+    for seq in map(sorted, by.values()):
+        for i, (t, _, source) in enumerate(seq):
+            later = next((x for x in seq[i + 1 :] if x[2] != source), None)
+            if later and later[0] - t <= 3600:
+                want.setdefault((source, later[2]), []).append((later[0] - t) * 1_000_000)
+    assert {(r["source"], r["next_source"]): (r["n"], r["least_us"]) for r in Q.next_elsewhere(spark, str(tmp_path)).collect()} == {p: (len(g), min(g)) for p, g in want.items()}
