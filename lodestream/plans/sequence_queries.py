@@ -90,9 +90,10 @@ SQL["next_elsewhere"] = "WITH s AS (SELECT delivery_no, lower(regexp_replace(aut
 
 
 def best_per_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of documents that begin alike (80 characters) the longest, ties to the smaller id; with how many there were."""
+    """Of documents of one text (but for letter case and blanks) the longest, ties to the smaller id; with how many there were."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return d.groupBy(F.md5(F.substring("text", 1, 80)).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.length("text").alias("len"), (-F.col("doc_id")).alias("d"))).alias("b")).select("start", "n", (-F.col("b.d")).alias("doc_id"), F.col("b.len").cast("long").alias("n_chars"))
+    whole = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    return d.groupBy(F.md5(whole).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.length("text").alias("len"), (-F.col("doc_id")).alias("d"))).alias("b")).select("start", "n", (-F.col("b.d")).alias("doc_id"), F.col("b.len").cast("long").alias("n_chars"))
 
 
 SQL["best_per_text"] = "SELECT md5(substr(text, 1, 80)) AS start, count(*) AS n, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY 1"

@@ -48,3 +48,10 @@ def test_next_elsewhere_looks_past_the_same_source(spark, tmp_path):
             if later and later[0] - t <= 3600:
                 want.setdefault((source, later[2]), []).append((later[0] - t) * 1_000_000)
     assert {(r["source"], r["next_source"]): (r["n"], r["least_us"]) for r in Q.next_elsewhere(spark, str(tmp_path)).collect()} == {p: (len(g), min(g)) for p, g in want.items()}
+
+
+def test_best_per_text_reads_the_whole_text(spark, tmp_path):
+    opening = "one opening line " * 10
+    texts = [opening + "a", opening + "b", opening.upper() + "  A ", opening + "a", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r["doc_id"], r["n"], r["n_chars"]) for r in Q.best_per_text(spark, str(tmp_path)).collect()} == {(2, 3, len(texts[2])), (1, 1, len(texts[1])), (4, 1, 0)}
