@@ -47,10 +47,10 @@ def _strip_round(edges: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame,
     return removed, left, degree
 
 
-def _solve_core(edges: DataFrame, max_steps: int = 100) -> DataFrame:
+def _solve_core(edges: DataFrame) -> DataFrame:
     """``(v, root)`` of the vertices of ``edges``: alternating large and small stars until nothing changes."""
     now, mark = edges, None
-    for _ in range(max_steps):
+    while True:
         both = _both_ways(now)
         least = both.groupBy("v").agg(F.least(F.min("nb"), F.col("v")).alias("m"))
         hot = hot_keys(both, "v")
@@ -69,7 +69,7 @@ def _solve_core(edges: DataFrame, max_steps: int = 100) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("v"), "root").distinct())
 
 
-def connected_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
+def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``(member, group_id)`` for everything in a table of links; ``group_id`` is the group's least member.
 
     Ids are bigints.  Null ends and self links are no links, repeated links count once, extra
@@ -80,8 +80,8 @@ def connected_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) ->
     # stripping and splicing never add to a vertex's degree, so this list holds for all rounds
     hot = hot_keys(_both_ways(edges), "v")
     history, core = [], edges
-    for k in range(max_rounds):
-        removed, left, degree = _strip_round(core, k)
+    while True:
+        removed, left, degree = _strip_round(core, len(history))
         if removed.isEmpty():
             break
         history.append(removed)
