@@ -38,6 +38,7 @@ CHEAP_EVENTS = ("comment", "reaction", "status_update", "label_change")
 ACTION_EVENTS = ("pull_request_merged", "pull_request_closed", "push", "commit", "deployment", "release")
 DISCUSSION_EVENTS = ("message", "comment", "issue_comment", "pr_comment")
 DONE_STATES = ("done", "closed", "completed", "cancelled")
+FINISHED_STATES = ("done", "closed", "completed")
 
 
 def kill_category(text: Column) -> Column:
@@ -60,11 +61,15 @@ def fired_categories(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), c) for p, c in kinds]))))
 
 
-def constraint_action(text: Column) -> Column:
+def asks_redaction(text: Column) -> Column:
     redacts = F.lit(False)
     for pattern, _, _ in REDACT_PATTERNS:
         redacts = redacts | text.rlike("(?i)" + pattern)
-    return F.when(kill_category(text).isNotNull(), "kill").when(redacts, "redact").otherwise("pass")
+    return redacts
+
+
+def constraint_action(text: Column) -> Column:
+    return F.when(kill_category(text).isNotNull(), "kill").when(asks_redaction(text), "redact").otherwise("pass")
 
 
 def is_noise(content: Column, subtype: Column) -> Column:
@@ -81,7 +86,7 @@ def domain_scores(term_array: Column, source: Column, channel: Column, labels: C
         if sources:
             score = score + F.when(source.isin(*sources), 0.3).otherwise(0.0)
         if labels is not None:
-            score = score + 0.1 * F.coalesce(F.size(F.array_intersect(F.transform(labels, F.lower), F.array(*map(F.lit, keywords)))), F.lit(0))
+            score = score + 0.1 * F.coalesce(F.size(F.array_intersect(F.array_distinct(F.transform(labels, F.lower)), F.array(*map(F.lit, keywords)))), F.lit(0))
         near = F.lit(False)
         for c in channels:
             near = near | F.coalesce(F.lower(channel).contains(c), F.lit(False))
@@ -89,9 +94,9 @@ def domain_scores(term_array: Column, source: Column, channel: Column, labels: C
     return out
 
 
-def domain(term_array: Column, source: Column, channel: Column) -> Column:
+def domain(term_array: Column, source: Column, channel: Column, labels: Column | None = None) -> Column:
     """The domain with the highest additive score, ties to the first in the table; ``general`` if all are zero."""
-    scores = domain_scores(term_array, source, channel)
+    scores = domain_scores(term_array, source, channel, labels)
     best = F.greatest(*scores.values())
     out = F.lit("general")
     for name, score in reversed(scores.items()):
@@ -110,6 +115,16 @@ def is_action(event_type: Column, source: Column, state: Column) -> Column:
     return F.coalesce(event_type.isin(*ACTION_EVENTS), F.lit(False)) | F.coalesce((source == "linear") & F.lower(state).isin(*DONE_STATES), F.lit(False))
 
 
+def is_finished_work(event_type: Column, source: Column, state: Column) -> Column:
+    """An action that is done, not cancelled: what makes somebody the owner of a topic."""
+    return F.coalesce(event_type.isin(*ACTION_EVENTS), F.lit(False)) | F.coalesce((source == "linear") & F.lower(state).isin(*FINISHED_STATES), F.lit(False))
+
+
+def is_work_activity(source: Column, state: Column) -> Column:
+    """Work rather than talk: anything on code, and tickets that are done."""
+    return F.coalesce(source == "github", F.lit(False)) | F.coalesce((source == "linear") & F.lower(state).isin(*FINISHED_STATES), F.lit(False))
+
+
 def is_discussion(event_type: Column, source: Column) -> Column:
     return F.coalesce(event_type.isin(*DISCUSSION_EVENTS), F.lit(False)) | F.coalesce(source == "slack", F.lit(False))
 

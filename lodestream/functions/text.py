@@ -28,10 +28,10 @@ EDGE_CHARS = ".,!?;:()[]{}\"'*`<>#~^|\\=_"
 HEDGES = ("may", "might", "could potentially", "it appears", "seems to", "is expected to", "under investigation", "possibly", "perhaps", "it seems", "appears to", "likely", "unlikely", "probably", "to some extent", "in some cases", "tends to", "somewhat", "it is believed", "it is thought", "it is possible")
 FORWARD = ("will", "going to", "plan to", "intend to", "aim to", "next week", "next month", "next quarter", "next sprint", "tomorrow", "upcoming", "goal is", "target is", "deadline", "by friday", "by monday", "by end of", "ship by", "launch by", "we will", "we'll", "we plan", "we intend", "we aim", "scheduled for", "on track to", "expected to ship")
 BACKWARD = ("was", "were", "had been", "used to", "previously", "last week", "last month", "last quarter", "last sprint", "yesterday", "formerly", "historically", "in the past", "we had", "we used to", "we were", "it was", "back when", "at that time", "prior to")
-BUREAUCRATIC = ("mishap", "anomaly", "contingency", "re-plan", "nominal", "action item", "going forward", "circle back", "take offline", "align on", "synergize", "leverage", "operationalize", "socialize", "double-click on", "deep dive", "stakeholder", "deliverable", "bandwidth", "parking lot", "boil the ocean", "move the needle", "it would be helpful if", "we might want to consider", "there may be an opportunity", "it could be beneficial", "we should perhaps", "it might make sense to")
 PASSIVE = r"\b(?:was|were|been|being|is|are|has\s+been|have\s+been|had\s+been)\s+(?:\w+ly\s+)?(\w+(?:ed|en|t|wn|ne))\b"
 NOMINAL = r"\b\w{4,}(?:tion|ment|ness|ity|ence|ance|sion)\b"
 CONCRETE = r"\b(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4})\b|\b\d+(?:\.\d+)?%?\b|\b(?:will|must|fixed|deployed|completed|resolved|merged|shipped|released|closed|done)\b"
+# Words of either sentiment, legal forms, and words that say little in a company name.
 POSITIVE_WORDS = ("good", "great", "excellent", "nice", "fixed", "resolved", "improved", "success", "working", "done", "merged", "approved", "completed", "shipped", "deployed", "ready", "happy", "love")
 NEGATIVE_WORDS = ("bad", "error", "fail", "bug", "broken", "crash", "issue", "problem", "wrong", "blocked", "stuck", "slow", "missing", "critical", "urgent", "regression", "revert", "hack")
 LEGAL_SUFFIX = r"\b(ltd|limited|plc|llp|lp|inc|incorporated|corp|corporation|sa|ag|gmbh|bv|nv|srl|sl|pty|pte|co|company)\b\.?"
@@ -157,6 +157,19 @@ def content_hash(parts: list[Column], length: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, length)
 
 
-def bag_of_words(text: Column, length: int = 120) -> Column:
-    """The sorted distinct lower-case words of the first characters of a text, joined by blanks."""
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring(text, 1, length)), r"\s+"), lambda t: t != ""))), " ")
+def bag_of_words(summary: Column, length: int = 120) -> Column:
+    """The sorted distinct words of three or more ASCII letters or digits in the first characters of a summary, joined by blanks."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.substring(F.lower(F.trim(summary)), 1, length), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))), " ")
+
+
+def finding_hash(kind: Column, summary: Column, actors: Column) -> Column:
+    """What makes two findings the same whatever the order of their words: kind, words, actors, and the requests, tickets and people named.
+
+    The words are those of the opening of the summary (as in the system studied, for summaries are
+    short); requests, tickets and mentions are looked for in all of it.
+    """
+    low = F.lower(F.trim(summary))
+    named = lambda pattern, group: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(group)))), ",")
+    norm = F.regexp_replace(F.lower(F.trim(kind)), "[ -]", "_")
+    who = F.array_join(F.array_sort(F.transform(actors, lambda a: F.lower(F.trim(a)))), ",")
+    return content_hash([norm, bag_of_words(summary), who, named(r"pr\s*#([0-9]+)", 1), named("[a-z]+-[0-9]+", 0), named(r"@([\p{L}\p{N}_-]+)", 1)])

@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 from lodestream.operators.skew import hot_keys, join_unique
 from lodestream.scratch import materialize, release
 
-SECRECY = ("VGB", "CYM", "PAN", "BMU", "JEY", "GGY", "IMN", "LIE", "MCO", "LUX", "CHE", "SGP", "HKG", "ARE", "BHS", "MUS", "WSM", "VUT", "SYC", "BLZ", "AIA", "GIB", "MLT", "CYP", "NLD", "IRL", "USA")
+# Secrecy jurisdictions, as codes and as names.
+SECRECY = (
+    "VGB", "BVI", "British Virgin Islands", "CYM", "KY", "Cayman Islands", "PAN", "Panama", "BMU", "BM", "Bermuda", "JEY", "JE", "Jersey", "GGY", "GG", "Guernsey",
+    "IMN", "IM", "Isle of Man", "LIE", "LI", "Liechtenstein", "MCO", "MC", "Monaco", "LUX", "LU", "Luxembourg", "CHE", "CH", "Switzerland", "SGP", "SG", "Singapore",
+    "HKG", "HK", "Hong Kong", "ARE", "AE", "United Arab Emirates", "BHS", "BS", "Bahamas", "MUS", "MU", "Mauritius", "WSM", "WS", "Samoa", "VUT", "VU", "Vanuatu",
+    "SYC", "SC", "Seychelles", "BLZ", "BZ", "Belize", "ANT", "Anguilla", "AIA", "GIB", "GI", "Gibraltar", "MLT", "MT", "Malta", "CYP", "CY", "Cyprus",
+    "NLD", "NL", "Netherlands", "IRL", "IE", "Ireland", "USA", "US", "United States", "Delaware",
+)
+# Words of nominee owners.
 NOMINEE_WORDS = ("trust", "foundation", "anstalt", "stiftung", "settlement", "nominee", "fiduciary", "trustee", "nominees")
 
 
@@ -80,21 +88,22 @@ def structural_measures(ties: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, a: str, b: str, max_steps: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(v, root)``: weakly connected components, ``root`` the least vertex; alternating large and small stars.
 
-    Loops and edges without an end are ignored, so a vertex without a real edge is not listed.
+    Steps go on until one changes nothing.  Loops and edges without an end are ignored, so a vertex
+    without a real edge is not listed.
     """
     pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("w"))
     now = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(*pair(F.col(a), F.col(b))).distinct(), "cc")
     mark = None
-    for _ in range(max_steps):
+    while True:
         both = now.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("w").alias("nb")), F.struct(F.col("w").alias("v"), F.col("u").alias("nb")))).alias("e")).select("e.*")
         least = both.groupBy("v").agg(F.least(F.min("nb"), F.col("v")).alias("m"))
         large = join_unique(both, least, "v", hot_keys(both, "v")).where("nb > v").select(*pair(F.col("nb"), F.col("m"))).where("u <> w").distinct()
         down = large.select(F.col("w").alias("v"), F.col("u").alias("nb"))
         low = down.groupBy("v").agg(F.min("nb").alias("m"))
-        small = join_unique(down, low, "v", []).select(F.explode(F.array(F.struct("nb", "m"), F.struct(F.col("v").alias("nb"), F.col("m")))).alias("e")).select(*pair(F.col("e.nb"), F.col("e.m"))).where("u <> w").distinct()
+        small = join_unique(down, low, "v", hot_keys(down, "v")).select(F.explode(F.array(F.struct("nb", "m"), F.struct(F.col("v").alias("nb"), F.col("m")))).alias("e")).select(*pair(F.col("e.nb"), F.col("e.m"))).where("u <> w").distinct()
         before, now = now, materialize(small, "cc")
         release(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
@@ -105,69 +114,111 @@ def components(edges: DataFrame, a: str, b: str, max_steps: int = 100) -> DataFr
     return stars.unionByName(stars.select(F.col("root").alias("v"), "root").distinct())
 
 
-def hop_distances(ties: DataFrame, sources: DataFrame, max_hops: int = 50) -> DataFrame:
-    """``(source, v, hops)`` to everything reachable from each of ``sources(v)``; one frontier for all, breadth first."""
-    frontier = materialize(sources.select(F.col("v").alias("source"), "v", F.lit(0).alias("hops")).distinct(), "bfs")
-    seen = frontier
-    for hop in range(1, max_hops + 1):
-        reached = frontier.join(ties.select("v", "nb"), "v").select("source", F.col("nb").alias("v")).distinct().join(seen.select("source", "v"), ["source", "v"], "left_anti")
-        frontier = materialize(reached.withColumn("hops", F.lit(hop)), "bfs")
-        if frontier.isEmpty():
+def hop_distances(ties: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``(source, v, hops)`` to everything reachable from each of ``sources(v)``; one frontier for all, breadth first.
+
+    Each hop is one job over the frontier alone; found vertices are appended as tables of their
+    hop, never rewritten.  ``max_hops`` ends the search earlier for callers that ask for less.
+    """
+    ties = materialize(ties.select("v", "nb"), "ties")
+    rings = [materialize(sources.where("v IS NOT NULL").select(F.col("v").alias("source"), "v", F.lit(0).alias("hops")).distinct(), "bfs")]
+    while max_hops is None or len(rings) <= max_hops:
+        # what is next to a ring lies in it, in the one before, or is new
+        near = rings[-1] if len(rings) == 1 else rings[-1].unionByName(rings[-2])
+        reached = rings[-1].join(ties, "v").select("source", F.col("nb").alias("v")).distinct().join(near.select("source", "v"), ["source", "v"], "left_anti")
+        ring = materialize(reached.withColumn("hops", F.lit(len(rings))), "bfs")
+        if ring.isEmpty():
             break
-        before, seen = seen, materialize(seen.unionByName(frontier), "seen")
-        if hop > 1:
-            release(before)
-    return seen
+        rings.append(ring)
+    release(ties)
+    return rings[0].sparkSession.read.schema(rings[0].schema).parquet(*[r._scratch_path for r in rings])
 
 
-def strongly_connected(edges: DataFrame, a: str = "src", b: str = "dst", max_steps: int = 200) -> DataFrame:
+def strongly_connected(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """``(v, scc)`` of the vertices on directed cycles of two or more vertices; ``scc`` the least vertex.
 
-    Vertices without an edge in or out are trimmed until none is left; then every vertex takes the
-    least vertex that reaches it, and within these classes what reaches that vertex back is a component.
+    Rounds trim vertices without an edge in or out and contract an independent set of those with
+    exactly one of each (``x -> v -> y`` becomes ``x -> y``; if x is y, x is known to lie on a cycle),
+    so chains and cycles of any length vanish in O(log n) rounds.  In the core that is left every
+    vertex takes the least vertex that reaches it, and what reaches that vertex back is a component.
+    Contracted vertices then join the component that both their neighbours are in.  Steps go on
+    until one changes nothing.  Loops, repeated edges and edges without an end add nothing.
     """
     live = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("s"), F.col(b).alias("t")).distinct(), "scc")
-    out = None
-    for _ in range(max_steps):
-        while True:
-            size = live.count()
-            ends = live.select(F.col("s").alias("x")).intersect(live.select(F.col("t").alias("x")))
-            kept = live.join(ends.withColumnRenamed("x", "s"), "s", "left_semi").join(ends.withColumnRenamed("x", "t"), "t", "left_semi").select("s", "t")
-            before, live = live, materialize(kept, "scc")
-            release(before)
-            if live.count() == size:
-                break
-        if live.isEmpty():
+    history, loops, size = [], live.select(F.col("s").alias("v")).where("false"), live.count()
+    while size:
+        into = live.groupBy(F.col("t").alias("v")).agg(F.count(F.lit(1)).alias("i"), F.min("s").alias("x"))
+        out = live.groupBy(F.col("s").alias("v")).agg(F.count(F.lit(1)).alias("o"), F.min("t").alias("y"))
+        both = materialize(into.join(out, "v"), "degrees")
+        salt = F.lit(f"r{len(history)}")  # a string, so that every round compiles to the same code
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), salt), F.col(c))
+        gone = materialize(both.where("i = 1 AND o = 1").where((rank("v") > rank("x")) & (rank("v") > rank("y"))).select("v", "x", "y"), "gone")
+        kept = live.join(both.select(F.col("v").alias("s")), "s", "left_semi").join(both.select(F.col("v").alias("t")), "t", "left_semi")
+        kept = kept.join(gone.select(F.col("v").alias("s")), "s", "left_anti").join(gone.select(F.col("v").alias("t")), "t", "left_anti").select("s", "t")
+        # a bridge counts only where both its ends are still there: trimmed vertices are on no cycle
+        bridges = gone.where("x <> y").join(both.select(F.col("v").alias("x")), "x", "left_semi").join(both.select(F.col("v").alias("y")), "y", "left_semi").select(F.col("x").alias("s"), F.col("y").alias("t"))
+        before, live = live, materialize(kept.unionByName(bridges).distinct(), "scc")
+        single = not both.where("i = 1 AND o = 1").isEmpty()
+        release(before)
+        release(both)
+        history.append(gone)
+        loops = loops.unionByName(gone.where("x = y").select(F.col("x").alias("v")))
+        was, size = size, live.count()
+        if size == was and not single:
             break
+    loops = materialize(loops.distinct(), "loops")
+    label = _core_components(live)
+    named = label.select("v")
+    for h in history:
+        named = named.unionByName(h.select("v"))
+    label = materialize(label.unionByName(loops.join(named, "v", "left_anti").select("v", F.col("v").alias("c"))), "labels")
+    for gone in reversed(history):
+        near = gone.join(label.select(F.col("v").alias("x"), F.col("c").alias("cx")), "x", "left").join(label.select(F.col("v").alias("y"), F.col("c").alias("cy")), "y", "left")
+        own = near.join(loops.withColumn("looped", F.lit(True)), "v", "left")
+        found = own.select("v", F.when(F.col("cx") == F.col("cy"), F.col("cx")).when(F.col("looped"), F.col("v")).alias("c")).where("c IS NOT NULL")
+        before, label = label, materialize(label.unionByName(found), "labels")
+        release(before)
+        release(gone)
+    least = label.groupBy("c").agg(F.min("v").alias("scc"))
+    return join_unique(label, least, "c", hot_keys(label, "c")).select("v", "scc")
+
+
+def _core_components(live: DataFrame) -> DataFrame:
+    """``(v, c)`` of all vertices on cycles of a graph ``(s, t)``, by forward colours and their backward closure."""
+    out = live.select(F.col("s").alias("v"), F.col("s").alias("c")).where("false")
+    while not live.isEmpty():
         color = live.select(F.explode(F.array("s", "t")).alias("v")).distinct().withColumn("c", F.col("v"))
         color = _spread_least(live.select(F.col("s").alias("from"), F.col("t").alias("to")), color)
         inside = live.join(color.select(F.col("v").alias("s"), F.col("c").alias("cs")), "s").join(color.select(F.col("v").alias("t"), F.col("c").alias("ct")), "t").where("cs = ct")
-        back = materialize(color.where("v = c").select("v", "c"), "back")
+        inside = materialize(inside.select("s", "t", "cs"), "inside")
+        back = front = materialize(color.where("v = c").select("v", "c"), "back")
         while True:
-            more = inside.join(back.select(F.col("v").alias("t"), "c"), "t").where("c = cs").select(F.col("s").alias("v"), "c").distinct().join(back, ["v", "c"], "left_anti")
-            more = materialize(more, "back")
-            if more.isEmpty():
+            more = inside.join(front.select(F.col("v").alias("t"), "c"), "t").where("c = cs").select(F.col("s").alias("v"), "c").distinct().join(back, ["v", "c"], "left_anti")
+            front = materialize(more, "back")
+            if front.isEmpty():
                 break
-            back = materialize(back.unionByName(more), "back")
-        found = back.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(back, "c").select("v", F.col("c").alias("scc"))
-        out = materialize(found if out is None else out.unionByName(found), "components")
-        live = materialize(live.join(back.select(F.col("v").alias("s")), "s", "left_anti").join(back.select(F.col("v").alias("t")), "t", "left_anti").select("s", "t"), "scc")
-        if live.isEmpty():
-            break
-    return out if out is not None else live.select(F.col("s").alias("v"), F.col("s").alias("scc")).where("false")
-
-
-def _spread_least(arcs: DataFrame, color: DataFrame, max_steps: int = 500) -> DataFrame:
+            back = back.unionByName(front)
+        found = back.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(back, "c").select("v", "c")
+        out = materialize(out.unionByName(found), "components")
+        rest = live.join(back.select(F.col("v").alias("s")), "s", "left_anti").join(back.select(F.col("v").alias("t")), "t", "left_anti").select("s", "t")
+        before, live = live, materialize(rest, "scc")
+        for table in (before, inside, color):
+            release(table)
+    return out
+
+
+def _spread_least(arcs: DataFrame, color: DataFrame) -> DataFrame:
+    """Every vertex takes the least colour that reaches it; steps until none moves."""
     color = materialize(color, "color")
-    for _ in range(max_steps):
+    while True:
         offered = arcs.join(color.select(F.col("v").alias("from"), "c"), "from").groupBy(F.col("to").alias("v")).agg(F.min("c").alias("o"))
         new = materialize(color.join(offered, "v", "left").select("v", F.least("c", "o").alias("c"), F.coalesce(F.col("o") < F.col("c"), F.lit(False)).alias("moved")), "color")
         moved = not new.where("moved").isEmpty()
         release(color)
         color = new.drop("moved")
+        color._scratch_path = new._scratch_path
         if not moved:
             return color
-    return color
 
 
 def owner_features(edges: DataFrame, entities: DataFrame) -> DataFrame:

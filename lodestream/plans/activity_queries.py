@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import rules, text as X
 from lodestream.operators import windows as W
-from lodestream.plans.text_queries import SQL as TEXT_SQL, _list, _meta, _sql_meta, sql_sentences, sql_terms, style_index
+from lodestream.plans.pipeline_queries import CONTEXTS
+from lodestream.plans.text_queries import SQL as TEXT_SQL, SQL_FINDING, _list, _meta, _sql_meta, sql_sentences, sql_terms, style_index
+from lodestream.scratch import materialize
 from lodestream.sources.tables import table
 
 _R = lambda c, n=6: F.round(c, n)
@@ -26,13 +28,15 @@ def _events(spark, sf_dir):
     # a merged pull request is the action that its state says
     event = F.when((event == "pull_request") & F.upper(state).isin("MERGED", "CLOSED"), F.concat(F.lit("pull_request_"), F.lower(state))).otherwise(event)
     src = F.col("source")
-    return s.select("delivery_no", "source", F.lower(F.regexp_replace("author", "^@", "")).alias("author"), _channel().alias("channel"), "received_at", X.terms(F.col("content")).alias("terms"), rules.is_action(event, src, state).alias("action"), rules.is_discussion(event, src).alias("discussion"), rules.is_private_channel(F.col("channel")).alias("private"))
+    return s.select("delivery_no", "source", F.lower(F.regexp_replace("author", "^@", "")).alias("author"), _channel().alias("channel"), "received_at", X.terms(F.col("content")).alias("terms"), rules.is_action(event, src, state).alias("action"), rules.is_discussion(event, src).alias("discussion"), rules.is_private_channel(F.col("channel")).alias("private"), rules.is_work_activity(src, state).alias("work"), rules.is_finished_work(event, src, state).alias("finished"))
 
 
 _ev = f"CASE WHEN {_sql_meta('event_type')} = 'pull_request' AND upper(coalesce({_sql_meta('state')}, {_sql_meta('status')}, '')) IN ('MERGED', 'CLOSED') THEN 'pull_request_' || lower(coalesce({_sql_meta('state')}, {_sql_meta('status')})) ELSE coalesce({_sql_meta('event_type')}, '') END"
 _EVENTS = f"""ev AS (SELECT delivery_no, source, lower(regexp_replace(author, '^@', '')) AS author, {_SQL_CHANNEL} AS channel, received_at, {sql_terms('content')} AS terms,
   coalesce(list_contains({_list(rules.ACTION_EVENTS)}, {_ev}), false) OR coalesce(source = 'linear' AND list_contains({_list(rules.DONE_STATES)}, lower(coalesce({_sql_meta('state')}, {_sql_meta('status')}, ''))), false) AS action,
-  coalesce(list_contains({_list(rules.DISCUSSION_EVENTS)}, {_ev}), false) OR coalesce(source = 'slack', false) AS discussion, coalesce(regexp_matches(lower(channel), '^#*(priv-|dm-|private-)'), false) AS private FROM signals WHERE content IS NOT NULL)"""
+  coalesce(list_contains({_list(rules.DISCUSSION_EVENTS)}, {_ev}), false) OR coalesce(source = 'slack', false) AS discussion, coalesce(regexp_matches(lower(channel), '^#*(priv-|dm-|private-)'), false) AS private,
+  coalesce(source = 'github', false) OR coalesce(source = 'linear' AND list_contains({_list(rules.FINISHED_STATES)}, lower(coalesce({_sql_meta('state')}, {_sql_meta('status')}, ''))), false) AS work,
+  coalesce(list_contains({_list(rules.ACTION_EVENTS)}, {_ev}), false) OR coalesce(source = 'linear' AND list_contains({_list(rules.FINISHED_STATES)}, lower(coalesce({_sql_meta('state')}, {_sql_meta('status')}, ''))), false) AS finished FROM signals WHERE content IS NOT NULL)"""
 
 
 def topic_action_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,26 +50,28 @@ SQL = {"topic_action_ratio": f"WITH {_EVENTS}, c AS (SELECT term, count(*) FILTE
 
 
 def channel_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per term, how far talk about it moved away from where work happens (chat against code and tickets)."""
-    t = _events(spark, sf_dir).select(F.explode("terms").alias("term"), (F.col("source") == "slack").alias("talk"), F.col("source").isin("github", "linear").alias("work"))
-    c = t.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if("talk").alias("n_talk"), F.count_if("work").alias("n_work")).where("n >= 4")
-    share = F.col("n_talk") / F.col("n")
-    return c.select("term", "n", "n_talk", "n_work", _R(share * (0.5 + 0.5 * F.least(F.lit(1.0), F.col("n_work") / F.col("n")))).alias("score"))
+    """Per term, how far talk about it went private while work on it goes on (each signal is work, private or public)."""
+    t = _events(spark, sf_dir).select(F.explode("terms").alias("term"), "work", "private")
+    c = t.groupBy("term").agg(F.count_if("work").alias("n_work"), F.count_if(~F.col("work") & F.col("private")).alias("n_private"), F.count_if(~F.col("work") & ~F.col("private")).alias("n_public"))
+    talk = F.col("n_private") + F.col("n_public")
+    c = c.where((talk > 0) & (talk + F.col("n_work") >= 4))
+    score = F.col("n_private") / talk * (0.5 + 0.5 * F.least(F.lit(1.0), F.col("n_work") / talk))
+    return c.select("term", "n_public", "n_private", "n_work", _R(score).alias("score"), (_R(score) >= 0.3).alias("migrated"))
 
 
-SQL["channel_shift"] = f"WITH {_EVENTS}, c AS (SELECT term, count(*) AS n, count(*) FILTER (WHERE source = 'slack') AS n_talk, count(*) FILTER (WHERE source IN ('github', 'linear')) AS n_work FROM (SELECT unnest(terms) AS term, source FROM ev) GROUP BY term) SELECT term, n, n_talk, n_work, round(n_talk / n * (0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, n_work / n)), 6) AS score FROM c WHERE n >= 4"
+SQL["channel_shift"] = f"WITH {_EVENTS}, c AS (SELECT term, count(*) FILTER (WHERE work) AS n_work, count(*) FILTER (WHERE NOT work AND private) AS n_private, count(*) FILTER (WHERE NOT work AND NOT private) AS n_public FROM (SELECT unnest(terms) AS term, work, private FROM ev) GROUP BY term), s AS (SELECT *, n_private / (n_private + n_public) * (0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, n_work / (n_private + n_public))) AS x FROM c WHERE n_private + n_public > 0 AND n_private + n_public + n_work >= 4) SELECT term, n_public, n_private, n_work, round(x, 6) AS score, round(x, 6) >= 0.3 AS migrated FROM s"
 
 
 def solo_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms on which one author alone acts, over two or more systems and three or more signals."""
-    t = _events(spark, sf_dir).select(F.explode("terms").alias("term"), "author", "channel", "action", "received_at")
+    t = _events(spark, sf_dir).select(F.explode("terms").alias("term"), "author", "channel", F.col("finished").alias("action"), "received_at")
     c = t.groupBy("term").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("action"), F.col("author"))).alias("owner"), F.max(F.when(F.col("action"), F.col("author"))).alias("last"), F.count_distinct("channel").alias("n_systems"), F.max(F.when(F.col("action"), F.unix_micros("received_at"))).alias("last_us")
     )
     return c.where("owner = last AND n_systems >= 2 AND n >= 3").select("term", "owner", "n", "n_systems", "last_us")
 
 
-SQL["solo_topics"] = f"WITH {_EVENTS} SELECT term, min(author) FILTER (WHERE action) AS owner, count(*) AS n, count(DISTINCT channel) AS n_systems, max(epoch_us(received_at)) FILTER (WHERE action) AS last_us FROM (SELECT unnest(terms) AS term, author, channel, action, received_at FROM ev) GROUP BY term HAVING count(DISTINCT author) FILTER (WHERE action) = 1 AND count(DISTINCT channel) >= 2 AND count(*) >= 3"
+SQL["solo_topics"] = f"WITH {_EVENTS} SELECT term, min(author) FILTER (WHERE action) AS owner, count(*) AS n, count(DISTINCT channel) AS n_systems, max(epoch_us(received_at)) FILTER (WHERE action) AS last_us FROM (SELECT unnest(terms) AS term, author, channel, finished AS action, received_at FROM ev) GROUP BY term HAVING count(DISTINCT author) FILTER (WHERE action) = 1 AND count(DISTINCT channel) >= 2 AND count(*) >= 3"
 
 
 def style_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +85,8 @@ SQL["style_by_channel"] = f"SELECT channel, count(*) AS n, round(avg(compression
 def style_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential average of the compression index per source, its trend, and whether it began high."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", "created_at")
-    e = W.ema(style_index(spark, sf_dir).join(d, "doc_id").where("created_at IS NOT NULL"), "source", ["created_at", "doc_id"], "compression")
+    scored = materialize(style_index(spark, sf_dir).select("doc_id", "compression").join(d, "doc_id").where("created_at IS NOT NULL"), "style")
+    e = W.ema(scored, "source", ["created_at", "doc_id"], "compression")
     delta = _R("ema") - _R("previous")
     return e.select("source", "n", _R("ema").alias("ema"), F.when(delta > 0.02, "increasing").when(delta < -0.02, "decreasing").otherwise("stable").alias("trend"), (F.col("first_value") >= 0.3).alias("born_high"))
 
@@ -191,13 +198,13 @@ SQL["largest_remainder"] = "WITH w AS (SELECT c_nationkey, round(sum(c_acctbal),
 
 
 def finding_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of one content address folded to a finding: how often, first and last seen, number of channels."""
+    """Signals of one finding hash folded to a finding: how often, first and last seen, number of channels."""
     s = table(spark, sf_dir, "signals").where("content IS NOT NULL AND content <> ''")
-    h = s.select(X.content_hash([F.col("source"), X.bag_of_words(F.col("content"))]).alias("finding"), _channel().alias("channel"), "received_at")
+    h = s.select(X.finding_hash(F.coalesce("source", F.lit("")), F.col("content"), F.array_compact(F.array("author"))).alias("finding"), _channel().alias("channel"), "received_at")
     return h.groupBy("finding").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros("received_at")).alias("first_us"), F.max(F.unix_micros("received_at")).alias("last_us"), F.count_distinct("channel").alias("n_channels"))
 
 
-SQL["finding_registry"] = rf"SELECT substr(sha256(source || ':' || array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(substr(content, 1, 120)), '\s+'), lambda t: t <> ''))), ' ')), 1, 16) AS finding, count(*) AS n, min(epoch_us(received_at)) AS first_us, max(epoch_us(received_at)) AS last_us, count(DISTINCT {_SQL_CHANNEL}) AS n_channels FROM signals WHERE content IS NOT NULL AND content <> '' GROUP BY 1"
+SQL["finding_registry"] = f"SELECT {SQL_FINDING} AS finding, count(*) AS n, min(epoch_us(received_at)) AS first_us, max(epoch_us(received_at)) AS last_us, count(DISTINCT {_SQL_CHANNEL}) AS n_channels FROM signals WHERE content IS NOT NULL AND content <> '' GROUP BY 1"
 
 
 def label_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,17 +225,17 @@ SELECT measure, n_hard, n_easy, CASE WHEN vh + ve > 0 THEN round((mh - me) / sqr
 
 
 def request_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every review or comment, the author of its pull request as far as known when it arrived (as-of lookup)."""
-    s = table(spark, sf_dir, "signals").where("source = 'github' AND author IS NOT NULL").select("delivery_no", "author", _channel().alias("repo"), "received_at", _meta("event_type").alias("event"), _meta("pr_number").alias("pr")).where("pr IS NOT NULL AND received_at IS NOT NULL")
+    """For every review or comment, the author of its pull request as far as known when it arrived (as-of lookup); nobody is linked to themselves."""
+    s = table(spark, sf_dir, "signals").where("source = 'github' AND author IS NOT NULL").select("delivery_no", "author", _channel().alias("repo"), "received_at", _meta("event_type").alias("event"), _meta("pr_number").alias("pr"), _meta("action").alias("action")).where("pr IS NOT NULL AND received_at IS NOT NULL")
     w = Window.partitionBy("repo", "pr").orderBy("received_at", "delivery_no").rowsBetween(Window.unboundedPreceding, -1)
-    known = s.withColumn("opened_by", F.last(F.when(F.col("event") == "pull_request", F.col("author")), ignorenulls=True).over(w))
-    return known.where("event <> 'pull_request' AND opened_by IS NOT NULL").select("delivery_no", "author", "opened_by")
+    known = s.withColumn("opened_by", F.last(F.when((F.col("event") == "pull_request") & F.coalesce(F.col("action") == "opened", F.lit(True)), F.col("author")), ignorenulls=True).over(w))
+    return known.where("event <> 'pull_request' AND opened_by IS NOT NULL AND opened_by <> author").select("delivery_no", "author", "opened_by")
 
 
 SQL["request_authors"] = f"""
-WITH s AS (SELECT delivery_no, author, {_SQL_CHANNEL} AS repo, received_at, {_sql_meta('event_type')} AS event, {_sql_meta('pr_number')} AS pr FROM signals WHERE source = 'github' AND author IS NOT NULL),
-k AS (SELECT *, last_value(CASE WHEN event = 'pull_request' THEN author END IGNORE NULLS) OVER (PARTITION BY repo, pr ORDER BY received_at, delivery_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened_by FROM s WHERE pr IS NOT NULL AND received_at IS NOT NULL)
-SELECT delivery_no, author, opened_by FROM k WHERE event <> 'pull_request' AND opened_by IS NOT NULL"""
+WITH s AS (SELECT delivery_no, author, {_SQL_CHANNEL} AS repo, received_at, {_sql_meta('event_type')} AS event, {_sql_meta('pr_number')} AS pr, {_sql_meta('action')} AS action FROM signals WHERE source = 'github' AND author IS NOT NULL),
+k AS (SELECT *, last_value(CASE WHEN event = 'pull_request' AND coalesce(action = 'opened', true) THEN author END IGNORE NULLS) OVER (PARTITION BY repo, pr ORDER BY received_at, delivery_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened_by FROM s WHERE pr IS NOT NULL AND received_at IS NOT NULL)
+SELECT delivery_no, author, opened_by FROM k WHERE event <> 'pull_request' AND opened_by IS NOT NULL AND opened_by <> author"""
 
 
 def repo_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,19 +257,63 @@ def recent_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["recent_by_author"] = "SELECT author, delivery_no, epoch_us(received_at) AS us FROM signals WHERE author IS NOT NULL AND received_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY author ORDER BY received_at DESC, delivery_no DESC) <= 3"
 
 
+#: How surely somebody knows of what they authored, reviewed, commented on, were mentioned in.
+EXPOSURE_WEIGHTS = {"authored": 0.95, "assigned": 0.90, "reviewed": 0.85, "commented": 0.75, "mentioned": 0.50, "reacted": 0.35, "channel_present": 0.20}
+AS_OF = "2025-06-01 00:00:00"
+#: Findings whose terms are asked for: the seeded contexts' words stand for three.
+FINDING_TERMS = {name: words for name, (words, _, _) in CONTEXTS.items()}
+
+
+def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``person, source, channel, kind, received_at, terms``: who met which signal, and how.
+
+    Authors author, review or comment by event type (a reply in a thread comments); everyone
+    that metadata mentions is mentioned; other producers (alerts) expose nobody.
+    """
+    s = table(spark, sf_dir, "signals").where("received_at IS NOT NULL AND source IN ('github', 'linear', 'slack')")
+    m = F.from_json("metadata", "event_type string, is_thread_reply boolean, mentions array<string>")
+    person = lambda c: F.lower(F.regexp_replace(c, "^@", ""))
+    s = s.select("source", _channel().alias("channel"), "received_at", X.terms(F.coalesce("content", F.lit(""))).alias("terms"), F.col("author"), m.alias("m"))
+    event = F.coalesce(F.col("m.event_type"), F.lit(""))
+    kind = F.when(event == "pr_review", "reviewed").when(event.isin("pr_comment", "issue_comment", "linear_comment"), "commented").when(event == "check_run", F.lit(None)).when((F.col("source") == "slack") & F.col("m.is_thread_reply"), "commented").otherwise("authored")
+    met = F.concat(F.array(F.struct(person(F.col("author")).alias("person"), kind.alias("kind"))), F.transform(F.coalesce(F.col("m.mentions"), F.array().cast("array<string>")), lambda p: F.struct(person(p).alias("person"), F.lit("mentioned").alias("kind"))))
+    return s.select("source", "channel", "received_at", "terms", F.explode(met).alias("e")).select("e.*", "source", "channel", "received_at", "terms").where("person <> '' AND kind IS NOT NULL")
+
+
 def exposure_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How likely each author knows of each channel's matters: noisy-or over contacts that halve every 14 days."""
-    s = table(spark, sf_dir, "signals").where("author IS NOT NULL AND received_at IS NOT NULL").select(F.lower(F.regexp_replace("author", "^@", "")).alias("person"), _channel().alias("channel"), "received_at", _meta("event_type").alias("event"))
-    base = F.when(F.col("event") == "pull_request", 0.95).when(F.col("event") == "pr_review", 0.85).when(F.col("event").isin("pr_comment", "issue_comment", "linear_comment"), 0.75).otherwise(0.5)
-    age = F.greatest((F.unix_micros(F.lit("2025-06-01 00:00:00").cast("timestamp")) - F.unix_micros("received_at")) / 86_400_000_000.0, F.lit(0.0))
-    p = base * F.pow(F.lit(2.0), -age / 14)
-    return s.groupBy("person", "channel").agg(F.count(F.lit(1)).alias("n"), _R(1 - F.exp(F.sum(F.log1p(-F.least(p, F.lit(0.999999)))))).alias("p_knows"))
-
-
-SQL["exposure_knowledge"] = f"""
-WITH s AS (SELECT lower(regexp_replace(author, '^@', '')) AS person, {_SQL_CHANNEL} AS channel, {_sql_meta('event_type')} AS event, greatest((epoch_us(TIMESTAMPTZ '2025-06-01 00:00:00+00') - epoch_us(received_at)) / 86400000000.0::DOUBLE, 0.0::DOUBLE) AS age FROM signals WHERE author IS NOT NULL AND received_at IS NOT NULL),
-p AS (SELECT person, channel, CASE WHEN event = 'pull_request' THEN 0.95::DOUBLE WHEN event = 'pr_review' THEN 0.85::DOUBLE WHEN event IN ('pr_comment', 'issue_comment', 'linear_comment') THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END * pow(2.0::DOUBLE, -age / 14) AS p FROM s)
-SELECT person, channel, count(*) AS n, round(1 - exp(sum(ln(1 - least(p, 0.999999::DOUBLE)))), 6) AS p_knows FROM p GROUP BY person, channel"""
+    """P(a person already knows of a finding): noisy-or over exposures, by kind, age, channel size, volume and topic overlap."""
+    e = materialize(exposures(spark, sf_dir), "exposures")
+    as_of = F.lit(AS_OF).cast("timestamp")
+    size = e.where("kind IN ('authored', 'reviewed', 'commented')").groupBy("source", "channel").agg(F.count_distinct("person").alias("authors"))
+    week = F.col("received_at") > as_of - F.expr("INTERVAL 7 DAYS")
+    volume = e.groupBy("person").agg(F.count_if(week & (F.col("received_at") <= as_of)).alias("v7"))
+    finding = F.explode(F.array(*[F.struct(F.lit(n).alias("finding"), F.array(*map(F.lit, t)).alias("words")) for n, t in FINDING_TERMS.items()]))
+    met = e.select("person", "source", "channel", "kind", "received_at", "terms", finding.alias("f"))
+    both = F.size(F.array_intersect("terms", "f.words"))
+    met = met.select("person", "source", "channel", "kind", "received_at", F.col("f.finding").alias("finding"), (both / (F.size("terms") + F.size("f.words") - both)).alias("overlap")).where("overlap >= 0.1")
+    base = F.lit(0.10)
+    for k, w in EXPOSURE_WEIGHTS.items():
+        base = F.when(F.col("kind") == k, w).otherwise(base)
+    age = F.greatest((F.unix_micros(as_of) - F.unix_micros("received_at")) / 86_400_000_000.0, F.lit(0.0))
+    crowd = F.greatest(F.coalesce("authors", F.lit(5)) / 5, F.lit(1.0))
+    p = base * F.pow(F.lit(2.0), -age / 14) * F.pow(F.lit(0.8), F.log2(crowd)) * 50 / (50 + F.coalesce("v7", F.lit(0)) / 7) * F.col("overlap")
+    rows = met.join(size, ["source", "channel"], "left").join(volume, "person", "left")
+    return rows.groupBy("person", "finding").agg(F.count(F.lit(1)).alias("n"), _R(1 - F.product(1 - F.least(p, F.lit(1.0)))).alias("p_knows"))
+
+
+_PERSON = lambda c: f"lower(regexp_replace({c}, '^@', ''))"
+_EXPOSURES = f"""x0 AS (SELECT *, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM signals WHERE received_at IS NOT NULL AND source IN ('github', 'linear', 'slack')),
+x1 AS (SELECT source, {_SQL_CHANNEL} AS channel, received_at, {sql_terms("coalesce(content, '')")} AS terms, author, coalesce(json_extract_string(m, '$.event_type'), '') AS event, coalesce(json_extract_string(m, '$.is_thread_reply') = 'true', false) AS reply, coalesce(json_extract_string(m, '$.mentions[*]'), []::VARCHAR[]) AS mentions FROM x0),
+x AS (SELECT {_PERSON('author')} AS person, CASE WHEN event = 'pr_review' THEN 'reviewed' WHEN event IN ('pr_comment', 'issue_comment', 'linear_comment') THEN 'commented' WHEN event = 'check_run' THEN NULL WHEN source = 'slack' AND reply THEN 'commented' ELSE 'authored' END AS kind, source, channel, received_at, terms FROM x1
+ UNION ALL SELECT {_PERSON('p')}, 'mentioned', source, channel, received_at, terms FROM (SELECT *, unnest(mentions) AS p FROM x1)),
+e AS (SELECT * FROM x WHERE person <> '' AND kind IS NOT NULL)"""
+_words = " UNION ALL ".join(f"SELECT '{n}' AS finding, {_list(t)} AS words" for n, t in FINDING_TERMS.items())
+_kinds = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in EXPOSURE_WEIGHTS.items()) + " ELSE 0.10::DOUBLE END"
+_KNOWS = f"""{_EXPOSURES}, sz AS (SELECT source, channel, count(DISTINCT person) AS authors FROM e WHERE kind IN ('authored', 'reviewed', 'commented') GROUP BY 1, 2),
+vol AS (SELECT person, count(*) FILTER (WHERE received_at > TIMESTAMPTZ '{AS_OF}+00' - INTERVAL 7 DAYS AND received_at <= TIMESTAMPTZ '{AS_OF}+00') AS v7 FROM e GROUP BY 1),
+o AS (SELECT e.*, finding, len(list_intersect(terms, words)) / (len(terms) + len(words) - len(list_intersect(terms, words))) AS overlap FROM e, ({_words})),
+p AS (SELECT o.person, finding, {_kinds} * pow(2.0::DOUBLE, -greatest((epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(received_at)) / 86400000000.0::DOUBLE, 0.0::DOUBLE) / 14) * pow(0.8::DOUBLE, log2(greatest(coalesce(authors, 5) / 5, 1.0::DOUBLE))) * 50 / (50 + coalesce(v7, 0) / 7) * overlap AS p FROM o LEFT JOIN sz ON sz.source = o.source AND sz.channel IS NOT DISTINCT FROM o.channel AND o.channel IS NOT NULL LEFT JOIN vol ON vol.person = o.person WHERE overlap >= 0.1)"""
+SQL["exposure_knowledge"] = f"WITH {_KNOWS} SELECT person, finding, count(*) AS n, round(1 - product(1 - least(p, 1.0::DOUBLE)), 6) AS p_knows FROM p GROUP BY person, finding"
 
 
 QUERIES = {f.__name__: f for f in (topic_action_ratio, channel_shift, solo_topics, style_by_channel, style_ema, metric_anomalies, budget_windows, budget_pivot, cadence_silence, source_coherence, author_diversity, metrics_summary, metrics_percentiles, largest_remainder, finding_registry, label_evaluation, request_authors, repo_flows, recent_by_author, exposure_knowledge)}

@@ -11,6 +11,9 @@ from lodestream.functions import text as X
 from lodestream.operators import graphs as G
 from lodestream.operators.hierarchy import ownership_hierarchy
 from lodestream.operators.skew import hot_keys, join_unique
+from lodestream.plans.activity_queries import repo_flows
+from lodestream.plans.problems import _FOREST
+from lodestream.scratch import materialize
 from lodestream.sources.tables import table
 
 _R = lambda c, n=6: F.round(c, n)
@@ -80,8 +83,8 @@ def comm_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["comm_distances"] = f"""WITH RECURSIVE {_CONTACTS},
 top AS (SELECT v FROM ties GROUP BY v ORDER BY count(*) DESC, v LIMIT 5),
-walk AS (SELECT v AS source, v, 0 AS hops FROM top UNION SELECT w.source, t.nb, w.hops + 1 FROM walk w JOIN ties t ON t.v = w.v WHERE w.hops < 12)
-SELECT source, v, min(hops) AS hops FROM walk GROUP BY source, v"""
+walk(source, v, hops) USING KEY (source, v) AS (SELECT v, v, 0 FROM top UNION (SELECT w.source, t.nb, min(w.hops) + 1 FROM walk w JOIN ties t ON t.v = w.v LEFT JOIN recurring.walk r ON r.source = w.source AND r.v = t.nb WHERE r.v IS NULL GROUP BY w.source, t.nb))
+SELECT source, v, hops FROM walk"""
 
 
 def own_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +130,22 @@ def own_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("scc").agg(F.count(F.lit(1)).alias("size"), F.max("v").alias("last"))
 
 
+SQL["own_cycles"] = """
+WITH RECURSIVE e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM ownership_edges WHERE ceased_on IS NULL AND source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id),
+down(s, v) AS (SELECT a, b FROM e WHERE a IN (SELECT b FROM e) AND b IN (SELECT a FROM e) UNION SELECT d.s, e.b FROM down d JOIN e ON e.a = d.v),
+same AS (SELECT x.s AS v, min(least(x.s, x.v)) AS scc FROM down x JOIN down y ON x.s = y.v AND x.v = y.s WHERE x.s <> x.v GROUP BY x.s)
+SELECT scc, count(*) AS size, max(v) AS last FROM same GROUP BY scc"""
+
+
 def own_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per root of the live subsidiary forest: entities below it and its deepest level."""
     f = ownership_hierarchy(table(spark, sf_dir, "ownership_edges"), table(spark, sf_dir, "entities"), with_path=False)
     return f.where("depth >= 0").groupBy("root_id").agg((F.count(F.lit(1)) - 1).alias("n_below"), F.max("depth").alias("height"))
 
 
+SQL["own_heights"] = f"WITH RECURSIVE {_FOREST} SELECT root AS root_id, count(*) - 1 AS n_below, max(depth)::INTEGER AS height FROM walk GROUP BY root"
+
+
 def own_transitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "ownership_edges").where("source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id")
     ties = e.select(F.explode(F.array(F.struct(F.col("source_id").alias("v"), F.col("target_id").alias("nb")), F.struct(F.col("target_id").alias("v"), F.col("source_id").alias("nb")))).alias("x")).select("x.*").distinct()
@@ -197,28 +210,32 @@ pt AS (SELECT k, min(record_id) AS name_id FROM (SELECT record_id, unnest([n[1]
 u AS (SELECT record_id, regexp_replace(h, '^@', '') AS k FROM (SELECT record_id, lower(trim(coalesce(CASE WHEN slack_handle <> '' THEN slack_handle END, linear_display_name))) AS h FROM person_records WHERE source IN ('slack-users', 'linear-users')) WHERE h <> '')
 SELECT record_id, coalesce(exact_id, name_id) AS roster_id, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN name_id IS NOT NULL THEN 'pattern' ELSE 'none' END AS how FROM u LEFT JOIN ex USING (k) LEFT JOIN pt USING (k)"""
 
-#: The dense eigenvalue solver takes graphs of at most this many vertices.
+#: The dense eigenvalue solver takes connected components of at most this many vertices, and says so beyond.
 MAX_SPECTRUM = 2000
 
 
 def repo_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Laplacian eigenvalues of the graph of repositories that share authors, weights 1 + ln(1 + shared)."""
-    s = table(spark, sf_dir, "signals").where("source = 'github' AND author IS NOT NULL AND channel IS NOT NULL")
-    by = s.select(F.lower(F.trim("channel")).alias("repo"), F.lower(F.regexp_replace("author", "^@", "")).alias("author")).distinct()
-    busy = by.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "repo").limit(MAX_SPECTRUM)
-    by = by.join(F.broadcast(busy.select("repo")), "repo", "left_semi")
-    shared = by.select("author", F.col("repo").alias("a")).join(by.select("author", F.col("repo").alias("b")), "author").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """Laplacian eigenvalues of the graph of repositories that share authors, weights 1 + ln(1 + shared).
+
+    The spectrum of a graph is that of its connected components together, so each component is
+    solved by itself; one with more than ``MAX_SPECTRUM`` vertices is an error, not cut.
+    """
+    shared = materialize(repo_flows(spark, sf_dir), "shared")
+    roots = G.components(shared, "a", "b")
+    parts = join_unique(shared.withColumn("v", F.col("a")), roots, "v", hot_keys(shared.withColumn("v", F.col("a")), "v")).select("root", "a", "b", "n_authors")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(frame["a"]) | set(frame["b"]))
+        if len(names) > MAX_SPECTRUM:
+            raise ValueError(f"a component of {len(names)} repositories is beyond the dense solver ({MAX_SPECTRUM})")
         at = {v: k for k, v in enumerate(names)}
         w = np.zeros((len(names), len(names)))
-        for a, b, n in zip(frame["a"], frame["b"], frame["n"]):
-            w[at[a], at[b]] = w[at[b], at[a]] = 1 + np.log1p(n)
+        i, j = frame["a"].map(at).to_numpy(), frame["b"].map(at).to_numpy()
+        w[i, j] = w[j, i] = 1 + np.log1p(frame["n_authors"].to_numpy())
         values = np.linalg.eigvalsh(np.diag(w.sum(axis=1)) - w)
-        return pd.DataFrame({"k": np.arange(len(values)), "eigenvalue": np.round(values, 6)})
+        return pd.DataFrame({"root": names[0], "k": np.arange(len(values)), "eigenvalue": np.round(values, 6)})
 
-    return shared.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(solve, "k long, eigenvalue double")
+    return parts.groupBy("root").applyInPandas(solve, "root string, k long, eigenvalue double")
 
 
 QUERIES = {f.__name__: f for f in (comm_edges, comm_decayed, comm_ties, comm_structure, comm_distances, own_degrees, own_features, own_components, own_cycles, own_heights, own_transitivity, address_concentration, entity_resolution, identity_cascade, repo_spectrum)}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions import rules, text as X
-from lodestream.plans.text_queries import SQL as TEXT_SQL, _cats, _kill, _list, _meta, _red, _redact, _sql_meta, sql_terms
+from lodestream.plans.text_queries import SQL as TEXT_SQL, _kill, _labels, _list, _meta, _red, _redact, sql_terms
 from lodestream.sources.tables import table
 
 _R = lambda c, n=6: F.round(c, n)
@@ -26,8 +26,15 @@ CONTEXTS = {
 #: Weights of the components of familiarity: keywords, source, time, credibility.
 WEIGHTS = {"keyword": 0.5, "source": 0.2, "temporal": 0.2, "credibility": 0.1}
 HALF_LIFE_HOURS = 24 * 30
-#: Agents: confidence and weight of each domain.
-AGENTS = {"reviewer": (0.8, {"technical": 0.9, "operations": 0.7, "business": 0.3, "organizational": 0.2, "general": 0.4}), "manager": (0.7, {"technical": 0.3, "operations": 0.5, "business": 0.9, "organizational": 0.8, "general": 0.6})}
+#: Agents: confidence, affinity to each context, weight of each domain.
+AGENTS = {
+    "reviewer": (0.95, {"engineering": 0.95, "delivery": 0.6, "people": 0.1}, {"technical": 0.9, "operations": 0.7, "business": 0.3, "organizational": 0.2, "general": 0.4}),
+    "manager": (0.9, {"engineering": 0.3, "delivery": 0.9, "people": 0.95}, {"technical": 0.3, "operations": 0.55, "business": 0.9, "organizational": 0.8, "general": 0.6}),
+}
+#: A context takes part in the vote on a signal that is more familiar to it than this.
+RELEVANCE = 0.2
+#: Weight above which a vote is resolved, and above which an unresolved one is flagged for review.
+RESOLVED, FLAGGED = 0.6, 0.3
 ACTIONS = ("surface", "store", "ignore")
 
 
@@ -48,8 +55,8 @@ def familiarity(term_array: Column, source: Column, at: Column, credibility: Col
 def scored_signals(signals: DataFrame) -> DataFrame:
     """Signals with text, their terms, credibility, domain and familiarity with every context."""
     diff = F.coalesce(_meta("additions").try_cast("bigint"), F.lit(0)) + F.coalesce(_meta("deletions").try_cast("bigint"), F.lit(0))
-    s = signals.where("content IS NOT NULL").select("delivery_no", "content", "source", "channel", "received_at", X.terms(F.col("content")).alias("terms"), rules.credibility(F.coalesce(_meta("event_type"), F.lit("")), F.col("source"), diff).alias("credibility"))
-    s = s.withColumn("domain", rules.domain(F.col("terms"), F.col("source"), F.col("channel")))
+    s = signals.where("content IS NOT NULL").select("delivery_no", "content", "source", "channel", "received_at", X.terms(F.col("content")).alias("terms"), rules.credibility(F.coalesce(_meta("event_type"), F.lit("")), F.col("source"), diff).alias("credibility"), _labels().alias("labels"))
+    s = s.withColumn("domain", rules.domain(F.col("terms"), F.col("source"), F.col("channel"), F.col("labels")))
     return s.withColumns({f"f_{c}": _R(familiarity(F.col("terms"), F.col("source"), F.col("received_at"), F.col("credibility"), c)) for c in CONTEXTS})
 
 
@@ -79,54 +86,79 @@ def _best(s: DataFrame) -> DataFrame:
     return s.withColumns({"familiarity": top, "context": name})
 
 
-def votes(domain: Column, affinity: Column) -> dict[str, Column]:
-    """Summed weight of every action: an agent surfaces what it finds close and its domain matters to it, ignores what is far, else stores."""
+def ballot(context: str, agent: str, domain: str) -> tuple[str, float]:
+    """``(action, weight)`` of an agent's mechanical assessment: it surfaces what it is sure of in a domain that matters to it, ignores what is far, else stores."""
+    confidence, affinities, weights = AGENTS[agent]
+    sure, weight = confidence * affinities.get(context, 0.0), weights.get(domain, 0.0)
+    action = "surface" if sure > 0.7 and weight > 0.5 else "ignore" if sure < 0.2 else "store"
+    return action, round(sure * confidence * weight, 6)
+
+
+DOMAINS = (*rules.DOMAIN_HINTS, "general")
+
+
+def votes(domain: Column, scores: dict[str, Column]) -> dict[str, Column]:
+    """Summed weight of every action over the relevant contexts' agents (a fixed table of contexts, agents and domains)."""
     out = {a: F.lit(0.0) for a in ACTIONS}
-    for confidence, weights in AGENTS.values():
-        weight = F.lit(0.0)
-        for d, v in weights.items():
-            weight = F.when(domain == d, v).otherwise(weight)
-        said = confidence * affinity
-        action = F.when((said > 0.2) & (weight > 0.5), "surface").when(said < 0.05, "ignore").otherwise("store")
+    for c, score in scores.items():
         for a in ACTIONS:
-            out[a] = out[a] + F.when(action == a, confidence * confidence * weight).otherwise(0.0)
+            weight = F.lit(0.0)
+            for d in DOMAINS:
+                weight = F.when(domain == d, sum(w for who in AGENTS for act, w in [ballot(c, who, d)] if act == a)).otherwise(weight)
+            out[a] = out[a] + F.when(score > RELEVANCE, weight).otherwise(0.0)
     return out
 
 
-def consensus(domain: Column, affinity: Column) -> tuple[Column, Column]:
-    """The winning action (ties in the order surface, store, ignore) and its weight."""
-    v = votes(domain, affinity)
-    most = F.greatest(*v.values())
+def consensus(vote: dict[str, Column]) -> dict[str, Column]:
+    """``action, weight, status``: the heaviest action (ties in the order surface, store, ignore) if its weight resolves the vote, else store.
+
+    Without any assessment a signal is stored with weight 0.
+    """
+    most = F.greatest(*vote.values())
     name = F.lit("store")
     for a in reversed(ACTIONS):
-        name = F.when(v[a] == most, a).otherwise(name)
-    return name, most
+        name = F.when(vote[a] == most, a).otherwise(name)
+    status = F.when(most > RESOLVED, "resolved").when(most > FLAGGED, "flagged").otherwise("open")
+    return {"action": F.when(most > RESOLVED, name).otherwise("store"), "weight": _R(most), "status": status}
+
+
+def voted_signals(signals: DataFrame) -> DataFrame:
+    """Scored signals with the votes summed once per row (the struct keeps the optimiser from repeating them)."""
+    s = _best(scored_signals(signals))
+    v = votes(F.col("domain"), {c: F.col(f"f_{c}") for c in CONTEXTS})
+    return s.select("delivery_no", "content", "context", "domain", "familiarity", F.explode(F.array(F.struct(*[v[a].alias(a) for a in ACTIONS]))).alias("v"))
 
 
 def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _best(scored_signals(table(spark, sf_dir, "signals")))
-    action, weight = consensus(F.col("domain"), F.col("familiarity"))
-    return s.select("delivery_no", "context", "domain", "familiarity", action.alias("action"), _R(weight).alias("weight"), F.when(weight > 0.4, "resolved").when(weight > 0.15, "flagged").otherwise("open").alias("status"))
+    s = voted_signals(table(spark, sf_dir, "signals"))
+    found = consensus({a: F.col(f"v.{a}") for a in ACTIONS})
+    return s.select("delivery_no", "context", "domain", "familiarity", *[c.alias(n) for n, c in found.items()])
+
+
+def _sql_vote(action: str) -> str:
+    arms = []
+    for c in CONTEXTS:
+        table_of = [(d, sum(w for who in AGENTS for act, w in [ballot(c, who, d)] if act == action)) for d in DOMAINS]
+        arms.append(f"CASE WHEN f_{c} > {RELEVANCE} THEN CASE domain " + " ".join(f"WHEN '{d}' THEN {w!r}::DOUBLE" for d, w in table_of) + " ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END")
+    return f"{' + '.join(arms)} AS v_{action}"
 
 
-_agent_sql = []
-for _conf, _weights in AGENTS.values():
-    _w = "CASE " + " ".join(f"WHEN domain = '{d}' THEN {v}::DOUBLE" for d, v in _weights.items()) + " ELSE 0.0::DOUBLE END"
-    _agent_sql.append((f"CASE WHEN {_conf}::DOUBLE * familiarity > 0.2 AND {_w} > 0.5 THEN 'surface' WHEN {_conf}::DOUBLE * familiarity < 0.05 THEN 'ignore' ELSE 'store' END", f"{_conf}::DOUBLE * {_conf}::DOUBLE * ({_w})"))
-_vote_cols = ", ".join(f"{' + '.join(f'CASE WHEN ({act}) = {chr(39)}{a}{chr(39)} THEN {w} ELSE 0.0::DOUBLE END' for act, w in _agent_sql)} AS v_{a}" for a in ACTIONS)
 _top = f"greatest({', '.join('f_' + c for c in CONTEXTS)})"
 _VOTED = f"""{_SCORED}, best AS (SELECT *, {_top} AS familiarity, CASE {' '.join(f"WHEN f_{c} = {_top} THEN '{c}'" for c in CONTEXTS)} END AS context FROM scored),
-voted AS (SELECT *, greatest(v_surface, v_store, v_ignore) AS w FROM (SELECT *, {_vote_cols} FROM best)),
-decided AS (SELECT *, CASE WHEN v_surface = w THEN 'surface' WHEN v_store = w THEN 'store' ELSE 'ignore' END AS action FROM voted)"""
-SQL["consensus_votes"] = f"WITH {_VOTED} SELECT delivery_no, context, domain, familiarity, action, round(w, 6) AS weight, CASE WHEN w > 0.4 THEN 'resolved' WHEN w > 0.15 THEN 'flagged' ELSE 'open' END AS status FROM decided"
+voted AS (SELECT *, greatest(v_surface, v_store, v_ignore) AS w FROM (SELECT *, {', '.join(map(_sql_vote, ACTIONS))} FROM best)),
+decided AS (SELECT *, CASE WHEN w <= {RESOLVED} THEN 'store' WHEN v_surface = w THEN 'surface' WHEN v_store = w THEN 'store' ELSE 'ignore' END AS action FROM voted)"""
+SQL["consensus_votes"] = f"WITH {_VOTED} SELECT delivery_no, context, domain, familiarity, action, round(w, 6) AS weight, CASE WHEN w > {RESOLVED} THEN 'resolved' WHEN w > {FLAGGED} THEN 'flagged' ELSE 'open' END AS status FROM decided"
 
 
 def surfaced_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What may surface: voted so, not stopped by a constraint, redacted where one asks for it."""
-    s = _best(scored_signals(table(spark, sf_dir, "signals")))
-    action, weight = consensus(F.col("domain"), F.col("familiarity"))
-    kept = s.withColumns({"action": action, "weight": _R(weight)}).where("action = 'surface'").where(rules.kill_category(F.col("content")).isNull())
-    return kept.select("delivery_no", "context", "domain", "familiarity", "weight", rules.constraint_action(F.col("content")).alias("filter"), rules.redacted(F.col("content")).alias("content"))
+    """What may surface: voted so with a resolved vote, not stopped by a constraint, redacted where one asks for it.
+
+    What a constraint stops is dropped at the scan; the decision is a struct of its own, so the
+    filter on it is not pushed below the vote and nothing is computed twice.
+    """
+    s = voted_signals(table(spark, sf_dir, "signals").where(rules.kill_category(F.col("content")).isNull()))
+    kept = s.select("*", F.explode(F.filter(F.array(F.struct(*[c.alias(n) for n, c in consensus({a: F.col(f"v.{a}") for a in ACTIONS}).items()])), lambda d: d["action"] == "surface")).alias("d"))
+    return kept.select("delivery_no", "context", "domain", "familiarity", F.col("d.weight").alias("weight"), F.when(rules.asks_redaction(F.col("content")), "redact").otherwise("pass").alias("filter"), rules.redacted(F.col("content")).alias("content"))
 
 
 SQL["surfaced_output"] = f"WITH {_VOTED} SELECT delivery_no, context, domain, familiarity, round(w, 6) AS weight, CASE WHEN {_redact} THEN 'redact' ELSE 'pass' END AS filter, {_red} AS content FROM decided WHERE action = 'surface' AND NOT ({_kill})"

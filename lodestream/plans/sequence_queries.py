@@ -12,8 +12,6 @@ from lodestream.plans.text_queries import sql_terms
 from lodestream.sources.tables import table
 
 _R = lambda c, n=6: F.round(c, n)
-#: The SQL of step_ngrams and sequence_similarity reads only the latest so many steps of a user; the queries read all.
-STEPS = 50
 
 
 def _events(spark, sf_dir):
@@ -37,7 +35,7 @@ def _grams(spark, sf_dir):
     return W.step_runs(_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
 
 
-_GRAMS = f"""r AS (SELECT user_id, event_type, ts, event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= {STEPS}),
+_GRAMS = """r AS (SELECT user_id, event_type, ts, event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
 l AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS s FROM r GROUP BY user_id),
 g AS (SELECT user_id, gram, count(*) AS n FROM (SELECT user_id, unnest(list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda i: s[i] || '>' || s[i + 1]), list_transform(range(1, greatest(len(s) - 1, 1)), lambda i: s[i] || '>' || s[i + 1] || '>' || s[i + 2]))) AS gram FROM l) GROUP BY user_id, gram)"""
 
@@ -63,16 +61,21 @@ SQL["sequence_similarity"] = f"WITH {_GRAMS}, ref AS (SELECT user_id FROM events
 
 
 def weekday_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of each source on its last day against the mean of the same weekday before, or of all days where there are fewer than two."""
-    per = table(spark, sf_dir, "signals").where("received_at IS NOT NULL").groupBy("source", F.to_date("received_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """Signals of each source on its last day against the mean of the days of its period before.
+
+    The period is the weekday, or the half of the week (working days, weekend) where there are
+    fewer than two such days, or else all days.
+    """
+    per = table(spark, sf_dir, "signals").where("received_at IS NOT NULL AND source IS NOT NULL").groupBy("source", F.to_date("received_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     last = per.groupBy("source").agg(F.max("day").alias("last"), F.max_by("n", "day").alias("n_last"))
-    h = per.join(F.broadcast(last), "source").where("day < last")
-    same = F.when(F.weekday("day") == F.weekday("last"), F.col("n"))
-    a = h.groupBy("source", "last", "n_last").agg(F.count(same).alias("k"), F.avg(same).alias("s"), F.avg("n").alias("a"))
-    return a.select("source", F.col("last").cast("string").alias("last"), "n_last", _R(F.when(F.col("k") >= 2, F.col("s")).otherwise(F.col("a")), 4).alias("baseline"))
+    h = per.join(last, "source").where("day < last")
+    weekend = lambda c: F.weekday(c) >= 5
+    same, half = F.when(F.weekday("day") == F.weekday("last"), F.col("n")), F.when(weekend("day") == weekend("last"), F.col("n"))
+    a = h.groupBy("source", "last", "n_last").agg(F.count(same).alias("k"), F.avg(same).alias("s"), F.count(half).alias("kh"), F.avg(half).alias("h"), F.avg("n").alias("a"))
+    return a.select("source", F.col("last").cast("string").alias("last"), "n_last", _R(F.when(F.col("k") >= 2, F.col("s")).when(F.col("kh") >= 2, F.col("h")).otherwise(F.col("a")), 4).alias("baseline"))
 
 
-SQL["weekday_baseline"] = "WITH p AS (SELECT source, CAST(received_at AS DATE) AS day, count(*) AS n FROM signals WHERE received_at IS NOT NULL GROUP BY 1, 2), l AS (SELECT source, max(day) AS last, arg_max(n, day) AS n_last FROM p GROUP BY source), h AS (SELECT source, last, n_last, n, dayofweek(day) = dayofweek(last) AS same FROM p JOIN l USING (source) WHERE day < last) SELECT source, last::VARCHAR AS last, n_last, round(CASE WHEN count(*) FILTER (WHERE same) >= 2 THEN avg(n) FILTER (WHERE same) ELSE avg(n) END, 4) AS baseline FROM h GROUP BY source, last, n_last"
+SQL["weekday_baseline"] = "WITH p AS (SELECT source, CAST(received_at AS DATE) AS day, count(*) AS n FROM signals WHERE received_at IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), l AS (SELECT source, max(day) AS last, arg_max(n, day) AS n_last FROM p GROUP BY source), h AS (SELECT source, last, n_last, n, dayofweek(day) = dayofweek(last) AS same, (isodow(day) >= 6) = (isodow(last) >= 6) AS half FROM p JOIN l USING (source) WHERE day < last) SELECT source, last::VARCHAR AS last, n_last, round(CASE WHEN count(*) FILTER (WHERE same) >= 2 THEN avg(n) FILTER (WHERE same) WHEN count(*) FILTER (WHERE half) >= 2 THEN avg(n) FILTER (WHERE half) ELSE avg(n) END, 4) AS baseline FROM h GROUP BY source, last, n_last"
 
 
 def next_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +89,12 @@ def next_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.where("next_us - us <= 3600000000").groupBy("source", "next_source").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("next_us") - F.col("us")).alias("least_us"))
 
 
-SQL["next_elsewhere"] = "WITH s AS (SELECT delivery_no, lower(regexp_replace(author, '^@', '')) AS author, source, epoch_us(received_at) AS us FROM signals WHERE author IS NOT NULL AND received_at IS NOT NULL), n AS (SELECT *, lead(source) OVER w AS next_source, lead(us) OVER w AS next_us FROM s WINDOW w AS (PARTITION BY author ORDER BY us, delivery_no)) SELECT source, next_source, count(*) AS n, min(next_us - us) AS least_us FROM n WHERE next_source <> source AND next_us - us <= 3600000000 GROUP BY 1, 2"
+SQL["next_elsewhere"] = """
+WITH s AS (SELECT delivery_no, lower(regexp_replace(author, '^@', '')) AS author, source, epoch_us(received_at) AS us FROM signals WHERE author IS NOT NULL AND source IS NOT NULL AND received_at IS NOT NULL),
+f AS (SELECT *, CASE WHEN lag(source) OVER w IS DISTINCT FROM source THEN 1 ELSE 0 END AS fresh FROM s WINDOW w AS (PARTITION BY author ORDER BY us, delivery_no)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY author ORDER BY us, delivery_no ROWS UNBOUNDED PRECEDING) AS run FROM f),
+n AS (SELECT author, run, min(us) AS us, any_value(source) AS source FROM r GROUP BY author, run)
+SELECT r.source, n.source AS next_source, count(*) AS n, min(n.us - r.us) AS least_us FROM r JOIN n ON n.author = r.author AND n.run = r.run + 1 WHERE n.us - r.us <= 3600000000 GROUP BY 1, 2"""
 
 
 def best_per_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +104,7 @@ def best_per_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.md5(whole).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.length("text").alias("len"), (-F.col("doc_id")).alias("d"))).alias("b")).select("start", "n", (-F.col("b.d")).alias("doc_id"), F.col("b.len").cast("long").alias("n_chars"))
 
 
-SQL["best_per_text"] = "SELECT md5(substr(text, 1, 80)) AS start, count(*) AS n, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY 1"
+SQL["best_per_text"] = r"SELECT md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ')) AS start, count(*) AS n, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY 1"
 
 
 def source_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,10 @@ def _meta(key: str):
     return F.get_json_object("metadata", f"$.{key}")
 
 
+def _labels():
+    return F.from_json("metadata", "labels array<string>")["labels"]
+
+
 def _sql_meta(key: str) -> str:
     return f"CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.{key}') END"
 
@@ -175,8 +179,8 @@ SQL["noise_filter"] = f"SELECT source, count(*) AS n_kept, max(delivery_no) AS l
 
 
 def domain_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signals(spark, sf_dir).where("content IS NOT NULL").select("delivery_no", "source", "channel", X.terms(F.col("content")).alias("t"))
-    return s.select("delivery_no", rules.domain(F.col("t"), F.col("source"), F.col("channel")).alias("domain"))
+    s = _signals(spark, sf_dir).where("content IS NOT NULL").select("delivery_no", "source", "channel", X.terms(F.col("content")).alias("t"), _labels().alias("labels"))
+    return s.select("delivery_no", rules.domain(F.col("t"), F.col("source"), F.col("channel"), F.col("labels")).alias("domain"))
 
 
 def _sql_domain() -> str:
@@ -185,12 +189,13 @@ def _sql_domain() -> str:
         s = f"0.2::DOUBLE * len(list_intersect(t, {_list(kw)}))"
         if src:
             s += f" + CASE WHEN list_contains({_list(src)}, source) THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END"
+        s += f" + 0.1::DOUBLE * len(list_intersect(labels, {_list(kw)}))"
         s += " + CASE WHEN " + " OR ".join(f"contains(coalesce(lower(channel), ''), {_lit(c)})" for c in ch) + " THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END"
         scores.append((name, s))
     cols = ", ".join(f"{s} AS {n}" for n, s in scores)
     best = "greatest(" + ", ".join(n for n, _ in scores) + ")"
     case = "CASE WHEN " + best + " = 0 THEN 'general' " + " ".join(f"WHEN {n} = {best} THEN '{n}'" for n, _ in scores) + " END"
-    return f"WITH d AS (SELECT delivery_no, source, channel, {sql_terms('content')} AS t FROM signals WHERE content IS NOT NULL), s AS (SELECT delivery_no, {cols} FROM d) SELECT delivery_no, {case} AS domain FROM s"
+    return f"WITH d AS (SELECT delivery_no, source, channel, {sql_terms('content')} AS t, list_distinct(list_transform(coalesce(json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.labels[*]'), []::VARCHAR[]), lambda l: lower(l))) AS labels FROM signals WHERE content IS NOT NULL), s AS (SELECT delivery_no, {cols} FROM d) SELECT delivery_no, {case} AS domain FROM s"
 
 
 SQL["domain_inference"] = _sql_domain()
@@ -232,13 +237,15 @@ SELECT entity_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(name),
 
 def content_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _signals(spark, sf_dir).where("content IS NOT NULL")
-    bag = X.bag_of_words(F.col("content"))
-    return s.select("delivery_no", X.content_hash([F.col("source"), bag, F.coalesce(F.col("author"), F.lit(""))]).alias("finding_hash"), X.content_hash([F.col("source"), F.col("channel")]).alias("resource_key"))
+    return s.select("delivery_no", X.finding_hash(F.coalesce("source", F.lit("")), F.col("content"), F.array_compact(F.array("author"))).alias("finding_hash"), X.content_hash([F.col("source"), F.col("channel")]).alias("resource_key"))
 
 
-SQL["content_addresses"] = r"""
-SELECT delivery_no, substr(sha256(source || ':' || array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(substr(content, 1, 120)), '\s+'), lambda t: t <> ''))), ' ') || ':' || coalesce(author, '')), 1, 16) AS finding_hash,
-  substr(sha256(concat_ws(':', source, channel)), 1, 16) AS resource_key FROM signals WHERE content IS NOT NULL"""
+_low = "lower(trim(content, ' '))"
+_named = lambda pattern, group: f"array_to_string(list_sort(list_distinct(regexp_extract_all({_low}, '{pattern}', {group}))), ',')"
+_PR, _AT = r"pr\s*#([0-9]+)", r"@([\p{L}\p{N}_-]+)"
+SQL_FINDING = f"""substr(sha256(regexp_replace(lower(trim(coalesce(source, ''), ' ')), '[ -]', '_', 'g') || ':' || array_to_string(list_sort(list_distinct(list_filter(string_split_regex(substr({_low}, 1, 120), '[^a-z0-9]+'), lambda w: length(w) >= 3))), ' ')
+  || ':' || coalesce(lower(trim(author, ' ')), '') || ':' || {_named(_PR, 1)} || ':' || {_named('[a-z]+-[0-9]+', 0)} || ':' || {_named(_AT, 1)}), 1, 16)"""
+SQL["content_addresses"] = f"SELECT delivery_no, {SQL_FINDING} AS finding_hash, substr(sha256(concat_ws(':', source, channel)), 1, 16) AS resource_key FROM signals WHERE content IS NOT NULL"
 
 
 def code_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as X, vectors as V
@@ -42,14 +42,18 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["label_centroids"] = f"WITH {_V} SELECT label, d - 1 AS dim, round(avg(v[d]), 6) AS mean FROM v, range(1, {DIM + 1}) r(d) WHERE label IS NOT NULL GROUP BY label, d"
 
 
+#: Labels are a fixed set of workers; their centroids are broadcast.
+MAX_LABELS = 10_000
+
+
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of every vector with every label's centroid, raw: one row per vector and label."""
     rows = _vectors(spark, sf_dir)
     parts = rows.where("label IS NOT NULL").select(F.col("label").alias("worker"), F.posexplode("v").alias("dim", "x")).groupBy("worker", "dim").agg(F.avg("x").alias("mean"))
     centroids = parts.groupBy("worker").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("c"))
-    labels = centroids.count()
-    side = F.broadcast(centroids) if labels <= 10_000 else centroids
-    return rows.crossJoin(side).select("vec_id", "worker", V.cosine(F.col("v"), F.col("c")).alias("score"))
+    if centroids.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"activations give every vector a score per label; more than {MAX_LABELS} labels are no labels")
+    return rows.crossJoin(F.broadcast(centroids)).select("vec_id", "worker", V.cosine(F.col("v"), F.col("c")).alias("score"))
 
 
 _A = f"{_V}, m AS (SELECT label, d, avg(v[d]) AS mean FROM v, range(1, {DIM + 1}) r(d) WHERE label IS NOT NULL GROUP BY label, d), c AS (SELECT label AS worker, list(mean ORDER BY d) AS v FROM m GROUP BY label), a AS (SELECT a.vec_id, b.worker, {_cos} AS score FROM v a, c b)"
@@ -62,14 +66,38 @@ def activation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["activation_matrix"] = f"WITH {_A} SELECT vec_id, worker, round(score, 5) AS score FROM a"
 
 
-def resonance_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best label per vector and how strongly it accepts: above 0.4 fully, above 0.2 in summary, else as a reference."""
-    best = activations(spark, sf_dir).groupBy("vec_id").agg(F.max(F.struct(_R("score", 5).alias("score"), (-F.col("worker")).alias("w"))).alias("b"))
-    score = F.col("b.score")
-    return best.select("vec_id", (-F.col("b.w")).alias("worker"), score.alias("score"), F.when(score > 0.4, "weight_shifted").when(score > 0.2, "context_summarized").otherwise("rag_indexed").alias("mode"))
+#: Vigilance: least and greatest threshold, how it rises as a label fills, its capacity, and below how many rows it is still lenient.
+VIGILANCE = {"base": 0.15, "top": 0.8, "curve": 2, "capacity": 200, "cold": 20, "offset": 0.2}
+
 
+def vigilance(count: Column) -> Column:
+    """The score a label asks for, which rises with the number of rows it holds; a young label asks for as little as a quarter."""
+    v = VIGILANCE
+    fill = F.least(count / v["capacity"], F.lit(1.0))
+    rho = v["base"] + (v["top"] - v["base"]) * F.pow(fill, F.lit(float(v["curve"])))
+    return F.when(count < v["cold"], rho * (0.25 + 0.75 * count / v["cold"])).otherwise(rho)
 
-SQL["resonance_decisions"] = f"WITH {_A}, r AS (SELECT vec_id, worker, round(score, 5) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 5) DESC, worker) AS n FROM a) SELECT vec_id, worker, score, CASE WHEN score > 0.4 THEN 'weight_shifted' WHEN score > 0.2 THEN 'context_summarized' ELSE 'rag_indexed' END AS mode FROM r WHERE n = 1"
+
+def resonance(score: Column, rho: Column) -> Column:
+    """``rag_indexed`` from the high threshold on, ``context_summarized`` from the threshold on, else ``weight_shifted`` (not accepted)."""
+    return F.when(score >= F.least(F.lit(1.0), rho + VIGILANCE["offset"]), "rag_indexed").when(score >= rho, "context_summarized").otherwise("weight_shifted")
+
+
+def resonance_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best label per vector and how it takes the vector in, by the label's own threshold."""
+    best = activations(spark, sf_dir).groupBy("vec_id").agg(F.max(F.struct(_R("score", 5).alias("score"), (-F.col("worker")).alias("w"))).alias("b"))
+    held = _vectors(spark, sf_dir).where("label IS NOT NULL").groupBy(F.col("label").alias("worker")).agg(F.count(F.lit(1)).alias("held"))
+    rows = best.select("vec_id", (-F.col("b.w")).alias("worker"), F.col("b.score").alias("score")).join(held, "worker")
+    rho = _R(vigilance(F.col("held")))
+    mode = resonance(F.col("score"), rho)
+    return rows.select("vec_id", "worker", "score", rho.alias("vigilance"), mode.alias("mode"), (mode != "weight_shifted").alias("accepted"))
+
+
+_rho = "(0.15::DOUBLE + 0.65::DOUBLE * pow(least(held / 200, 1.0::DOUBLE), 2))"
+SQL["resonance_decisions"] = f"""WITH {_A}, r AS (SELECT vec_id, worker, round(score, 5) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 5) DESC, worker) AS n FROM a),
+h AS (SELECT label AS worker, round(CASE WHEN held < 20 THEN {_rho} * (0.25::DOUBLE + 0.75::DOUBLE * held / 20) ELSE {_rho} END, 6) AS rho FROM (SELECT label, count(*) AS held FROM v WHERE label IS NOT NULL GROUP BY label)),
+d AS (SELECT vec_id, worker, score, rho, CASE WHEN score >= least(1.0::DOUBLE, rho + 0.2::DOUBLE) THEN 'rag_indexed' WHEN score >= rho THEN 'context_summarized' ELSE 'weight_shifted' END AS mode FROM r JOIN h USING (worker) WHERE n = 1)
+SELECT vec_id, worker, score, rho AS vigilance, mode, mode <> 'weight_shifted' AS accepted FROM d"""
 
 
 def softmax_activations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,25 @@ def test_strong_components_against_brute_force(spark):
     assert {frozenset(s) for s in got.values()} == {w for w in want if len(w) > 1}
 
 
+def test_long_cycles_and_chains_are_whole(spark):
+    n = 2000
+    arcs = [(k, (k + 1) % n) for k in range(n)] + [(k, k + 1) for k in range(5000, 5300)] + [(9000, 9001), (9001, 9000), (9001, 9002), (9002, 9001), (100, 9000)]
+    got = {}
+    for r in G.strongly_connected(spark.createDataFrame(arcs, "src long, dst long")).collect():
+        got.setdefault(r["scc"], set()).add(r["v"])
+    assert got == {0: set(range(n)), 9000: {9000, 9001, 9002}}
+
+
+def test_distances_and_components_do_not_end_early(spark):
+    path = [(k, k + 1) for k in range(70)]
+    ties = spark.createDataFrame(path + [(b, a) for a, b in path], "v long, nb long")
+    got = {r["v"]: r["hops"] for r in G.hop_distances(ties, spark.createDataFrame([(0,), (None,)], "v long")).collect()}
+    assert got == {k: k for k in range(71)}
+    chain = spark.range(20_000).selectExpr("id AS a", "id + 1 AS b")
+    roots = G.components(chain, "a", "b").groupBy("root").count().collect()
+    assert [(r["root"], r["count"]) for r in roots] == [(0, 20_001)]
+
+
 def test_triangles_and_components(spark):
     rnd = random.Random(6)
     e = {tuple(sorted((rnd.randrange(20), rnd.randrange(20)))) for _ in range(60)}
