@@ -9,7 +9,7 @@ from lodestream.llm.leakage import find_leaks, leaked_items
 from lodestream.llm.matching import match_records
 from lodestream.llm.mixing import mix_plan, mix_report, mixed_documents
 from lodestream.llm.names import variant_pairs
-from lodestream.llm.pii import pii_pieces, replace_pii
+from lodestream.llm.pii import replace_pii, surrogate_pieces
 from lodestream.llm.reading import reading_levels
 from lodestream.sources.tables import table
 
@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_pieces(table(spark, sf_dir, "signals")).select("delivery_no", "pii_kind", "nth")
+    return surrogate_pieces(table(spark, sf_dir, "signals")).select("delivery_no", "pii_kind", "nth")
 
 
 def p2_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
