@@ -4,19 +4,22 @@
 key; ``quotient_dedup`` finds the surplus deliveries with an exact quotient hash table.
 
 The table: each key becomes a fixed-width 128-bit identifier, a bijective mix permutes
-it, its leading bits (the *quotient*) choose a shard and the rest (the complete
-*remainder*) is stored there.  Quotient and remainder together are the identifier, so
-two different identifiers never match.  The shard is Spark's aggregation hash table:
-map-side partial aggregation inserts an identifier once per task before anything is
-shuffled, which also flattens a message that makes up a third of all rows.
+it, its leading bits (the *quotient*) choose the shard that an entry is sent to, and the
+rest (the complete *remainder*) is what the shard's hash table is asked for, together with
+the whole key, so that two different keys never match whatever their identifiers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.operators.skew import hot_keys
+from lodestream.scratch import materialize
+
 #: Metadata keys that identify a message, by producer.
 IDENTITY_KEYS: dict[str, tuple[str, ...]] = {
     "slack": ("ts", "edited_ts"),
@@ -81,27 +84,31 @@ def identifier_words(key: Column) -> tuple[Column, Column]:
     return half(1), half(17)
 
 
-def quotient_dedup(df: DataFrame, key: Column, order_col: str, quotient_bits: int = 12) -> DataFrame:
+def quotient_dedup(df: DataFrame, key: Column, order_col: str, quotient_bits: int = 20, words: Callable[[Column], tuple[Column, Column]] = identifier_words) -> DataFrame:
     """The surplus rows of ``df``: all but the one with the smallest ``order_col`` of each key.
 
     Rows whose key or ``order_col`` is null are never surplus.  ``order_col`` is expected to be
     unique; rows that repeat a whole delivery with its number count as that one delivery and stay
-    together.  A keyless row is entered under an identifier of its own, so that the anti-join's
-    left side scans the order column alone and metadata is parsed once.  Only the order column and the identifier are shuffled, and the join back runs on
-    the unique ``order_col``, so a hot key cannot overload a task.
+    together.  A keyless row is entered under a key of its own.
+
+    Entries are written once (so metadata is parsed once) and sent to the shard of their quotient;
+    there the complete remainder finds an entry and the whole key confirms it, so keys whose
+    identifiers coincide stay apart.  Quotients with an unusual share of all rows, those of messages
+    repeated very often, are combined before they are sent.  The join back runs on the unique
+    ``order_col``, so a hot key cannot overload a task.
     """
     order = F.col(order_col).cast("string")
-    high, low = identifier_words(F.coalesce(key, F.concat(F.lit("\x00own\x1f"), order)))
-    ids = df.where(F.col(order_col).isNotNull()).select(F.col(order_col).alias("__o"), _permute(high).alias("__h"), low.alias("__r2"))
-    ids = ids.select(
-        "__o",
-        F.shiftrightunsigned("__h", 64 - quotient_bits).cast("int").alias("__q"),
-        F.col("__h").bitwiseAND(F.lit((1 << (64 - quotient_bits)) - 1)).alias("__r1"),
-        "__r2",
-    )
-    kept = ids.groupBy("__q", "__r1", "__r2").agg(F.min("__o").alias("__first"))
-    numbers = df.select(F.col(order_col).alias("__o")).where("__o IS NOT NULL")
-    surplus = numbers.join(kept, F.col("__o") == F.col("__first"), "left_anti")
+    entered = df.where(F.col(order_col).isNotNull()).select(F.col(order_col).alias("__o"), F.coalesce(key, F.concat(F.lit("\x00own\x1f"), order)).alias("__k"))
+    high, low = words(F.col("__k"))
+    entered = entered.select("__o", "__k", _permute(high).alias("__h"), low.alias("__r2"))
+    entries = materialize(entered.select("__o", "__k", F.shiftrightunsigned("__h", 64 - quotient_bits).cast("int").alias("__q"), F.col("__h").bitwiseAND(F.lit((1 << (64 - quotient_bits)) - 1)).alias("__r1"), "__r2"), "entries")
+    hot = hot_keys(entries, "__q")
+    first = F.min("__o").alias("__first")
+    found = lambda rows: rows.groupBy("__q", "__r1", "__r2", "__k").agg(first).select("__first")
+    kept = found((entries.where(~F.col("__q").isin(hot)) if hot else entries).repartition("__q"))
+    if hot:
+        kept = kept.unionByName(found(entries.where(F.col("__q").isin(hot))))
+    surplus = entries.select("__o").join(kept, F.col("__o") == F.col("__first"), "left_anti")
     return surplus.select(F.col("__o").alias(order_col)).distinct()
 
 

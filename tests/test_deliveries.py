@@ -51,3 +51,25 @@ def test_repeated_rows_and_empty_table(spark):
 def test_a_message_of_a_third_of_all_rows(spark):
     df = spark.range(30_000).selectExpr("id AS delivery_no", "'slack' AS source", "'c' AS channel", "concat('{\"ts\":\"', if(id % 3 = 0, 1, id), '\"}') AS metadata")
     assert len(surplus(df)) == 10_000  # 10,000 copies of ts 1 and the row that has it by its own number, less one kept
+
+
+def test_equal_identifiers_of_different_keys_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    from lodestream.operators.deliveries import quotient_dedup
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None), (None, "a")], "no long, k string")
+    same = lambda key: (F.lit(7).cast("long"), F.lit(9).cast("long"))
+    assert [r["no"] for r in quotient_dedup(rows, F.col("k"), "no", words=same).collect()] == [3]
+
+
+def test_shards_go_by_quotient_and_hot_messages_are_combined(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from lodestream.operators.deliveries import quotient_dedup
+
+    rows = spark.range(60_000).select(F.col("id").alias("no"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    found = quotient_dedup(rows, F.col("k"), "no")
+    assert found.count() == 19_999 and found.where("no % 3 <> 0 OR no = 0").count() == 0
+    found.explain()
+    assert "hashpartitioning(__q" in capsys.readouterr().out
