@@ -265,7 +265,8 @@ def source_asymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["source_asymmetry"] = f"""WITH s AS (SELECT {_SQL_CHANNEL} AS channel, lower(regexp_replace(author, '^@', '')) AS author, epoch_us(received_at) AS us FROM signals WHERE received_at IS NOT NULL AND author IS NOT NULL AND channel IS NOT NULL),
-p AS (SELECT channel, ((SELECT max(us) FROM s) - us) // 604800000000 AS week, author, count(*) AS n FROM s GROUP BY ALL HAVING week < 2),
+v AS (SELECT channel, ((SELECT max(us) FROM s) - us) // 604800000000 AS week, author FROM s),
+p AS (SELECT channel, week, author, count(*) AS n FROM v WHERE week < 2 GROUP BY 1, 2, 3),
 e AS (SELECT channel, week, sum(n) AS t, log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n) AS h FROM p GROUP BY 1, 2),
 w AS (SELECT a.channel, round(a.h / b.h, 6) AS er, a.t / b.t AS vr FROM e a JOIN e b ON a.channel = b.channel AND a.week = 0 AND b.week = 1 WHERE b.h > 0.000001)
 SELECT channel, er AS entropy_ratio, round(vr, 6) AS volume_ratio, round(CASE WHEN greatest(0.0::DOUBLE, 1 - er) - greatest(0.0::DOUBLE, 1 - vr) > 0 THEN least(1.0::DOUBLE, sqrt(greatest(0.0::DOUBLE, 1 - er) - greatest(0.0::DOUBLE, 1 - vr)) * sqrt(least(vr, 1.0::DOUBLE))) ELSE 0.0::DOUBLE END, 4) AS score FROM w"""
@@ -286,11 +287,11 @@ SQL["metric_rates"] = "WITH e AS (SELECT event_type, epoch_us(ts) AS us, max(epo
 def rated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings of documents by their latest rater: how many of each band, and how many documents of the language are unrated."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
-    r = table(spark, sf_dir, "reading_labels").where("band IS NOT NULL").groupBy("doc_id").agg(F.max_by("band", "rater").alias("band"))
+    r = table(spark, sf_dir, "reading_labels").where("band IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("rater", "band"))["band"].alias("band"))
     return d.join(r, "doc_id", "left").groupBy("lang").agg(*[F.count_if(F.col("band") == b).alias(f"n_band{b}") for b in (1, 2, 3, 4)], F.count_if(F.col("band").isNull()).alias("n_unrated"))
 
 
-SQL["rated_findings"] = "WITH r AS (SELECT doc_id, arg_max(band, rater) AS band FROM reading_labels WHERE band IS NOT NULL GROUP BY 1) SELECT coalesce(lang, 'none') AS lang, " + ", ".join(f"count(*) FILTER (WHERE band = {b}) AS n_band{b}" for b in (1, 2, 3, 4)) + ", count(*) FILTER (WHERE band IS NULL) AS n_unrated FROM documents LEFT JOIN r USING (doc_id) GROUP BY 1"
+SQL["rated_findings"] = "WITH r AS (SELECT doc_id, arg_max(band, (rater, band)) AS band FROM reading_labels WHERE band IS NOT NULL GROUP BY 1) SELECT coalesce(lang, 'none') AS lang, " + ", ".join(f"count(*) FILTER (WHERE band = {b}) AS n_band{b}" for b in (1, 2, 3, 4)) + ", count(*) FILTER (WHERE band IS NULL) AS n_unrated FROM documents LEFT JOIN r USING (doc_id) GROUP BY 1"
 
 
 def source_affinities(spark: SparkSession, sf_dir: str) -> DataFrame:
