@@ -1,12 +1,10 @@
 """Records of the same person in sources without a common key.
 
 All attributes of a record become terms of an inverted index: addresses, account handles,
-numbers beside a surname, full names and the short forms that people make of them.  Pairs are
-scored by BM25 (each term counts once, so the score is the sum of inverse document
-frequencies).  Retrieval is exact above the least score that can be accepted (MaxScore): a
-record's commonest terms, whose weights together stay below that score, start no search.
-Pairs pass a mutual-nearest test per source, and a logistic model of score and score gap,
-calibrated on pairs that an address proves or a number disproves, gives each a confidence.
+numbers beside a surname, full names and the short forms that people make of them.  Records
+are retrieved by BM25, exactly above the least score that counts (MaxScore).  Pairs pass a
+mutual-nearest test per source, and a logistic model of score and score gap, calibrated on
+pairs that an address proves or a number disproves, gives each a confidence.
 """
 
 from __future__ import annotations
@@ -20,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.grouping import ROLE_LOCALS, connected_groups
+from lodestream.llm.given_names import FEMALE, MALE
+from lodestream.llm.grouping import ROLE_LOCALS
 from lodestream.llm.names import FORMAL, fold
-from lodestream.llm.pii import FEMALE, MALE
 from lodestream.scratch import materialize, release
 
 #: Calibration reads at most this many proven and disproven pairs each.
@@ -115,38 +113,46 @@ def record_terms(name: str, emails: list[str], handles: list[str]) -> tuple[list
 def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
-        for rid, src, name, emails, handles in zip(f["record_id"], f["source"], f["name"], f["emails"], f["handles"]):
+        for rid, name, emails, handles in zip(f["cls"], f["name"], f["emails"], f["handles"]):
             terms, numbers, surname = record_terms(name, [e for e in emails if e], [h for h in handles if h])
-            joined = " ".join(numbers)
-            out += [(rid, src, t, g, joined, surname) for t, g in terms]
-        yield pd.DataFrame(out, columns=["record_id", "source", "term", "given", "numbers", "surname"]).astype({"record_id": "int64"})
+            out.append((rid, [t for t, _ in terms], [g for _, g in terms], numbers, surname))
+        yield pd.DataFrame(out, columns=["cls", "terms", "givens", "numbers", "surname"])
 
 
-def _postings(records: DataFrame) -> DataFrame:
+def _records(records: DataFrame) -> DataFrame:
+    """``record_id, source`` and the attributes, one row per id."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in records.columns else F.lit("")
     aliases = F.coalesce(F.col("aliases"), F.array().cast("array<string>")) if "aliases" in records.columns else F.array().cast("array<string>")
     rows = records.where("record_id IS NOT NULL AND source IS NOT NULL").select(
-        F.col("record_id").cast("long").alias("record_id"), "source", text("name").alias("name"), F.concat(F.array(text("email")), aliases).alias("emails"),
-        F.concat(F.array(text("github_handle"), text("slack_handle"), text("linear_display_name")), F.filter(aliases, lambda a: ~a.contains("@"))).alias("handles"),
+        F.col("record_id").cast("long").alias("record_id"), "source", text("name").alias("name"), F.array_sort(F.concat(F.array(text("email")), aliases)).alias("emails"),
+        F.concat(F.array(text("github_handle"), text("slack_handle"), text("linear_display_name")), F.array_sort(F.filter(aliases, lambda a: ~a.contains("@")))).alias("handles"),
     )
-    return rows.mapInPandas(_index, "record_id long, source string, term string, given string, numbers string, surname string").dropDuplicates(["record_id", "term"])
+    return rows.groupBy("record_id").agg(F.min(F.struct("source", "name", "emails", "handles")).alias("r")).select("record_id", "r.*")
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """``cls, source, term`` (hashed), what kind of term it is, and what tells its bearers apart."""
+    docs = classes.mapInPandas(_index, "cls long, terms array<string>, givens array<string>, numbers array<string>, surname string")
+    docs = docs.select("cls", "numbers", "surname", F.explode(F.arrays_zip("terms", "givens")).alias("t"))
+    term = F.col("t.terms")
+    return docs.select("cls", F.xxhash64(term).alias("term"), F.substring(term, 1, 1).alias("kind"), term.rlike(r"\d").alias("numbered"), F.col("t.givens").alias("given"), "numbers", "surname")
 
 
 def _clear_terms(post: DataFrame) -> DataFrame:
-    """Terms that tell people apart, with their frequency.
+    """Terms that tell people apart, with their frequency and kind.
 
     Left out are names that several people bear by their numbers, short forms of several given
     names, and handles of several surnames.
     """
     some = lambda c: F.when(F.col(c) != "", F.col(c))
-    number = F.substring_index(some("numbers"), " ", 1)
-    per = post.groupBy("term").agg(
+    number = F.get("numbers", F.lit(0))
+    per = post.groupBy("term", "kind", "numbered").agg(
         F.count(F.lit(1)).alias("df"), F.min(number).alias("n1"), F.max(number).alias("n2"), F.min(some("given")).alias("g1"), F.max(some("given")).alias("g2"), F.min(some("surname")).alias("s1"), F.max(some("surname")).alias("s2")
     )
-    kind, differ = F.substring("term", 1, 1), lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False))
-    numbered = F.col("term").rlike(r"\d")
+    differ = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False))
+    kind, numbered = F.col("kind"), F.col("numbered")
     vague = (kind.isin("n", "c", "i") | kind.isin("h", "l") & ~numbered) & differ("n1", "n2") | kind.isin("c", "i") & differ("g1", "g2") | kind.isin("h", "l", "c") & ~numbered & differ("s1", "s2")
-    return per.where("df > 1").where(~vague).select("term", "df")
+    return per.where("df > 1").where(~vague).select("term", kind.isin("e", "k").alias("proof"), "df")
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2, steps: int = 60) -> np.ndarray:
@@ -164,72 +170,109 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2, ste
     return w
 
 
-def match_records(records: DataFrame, least_confidence: float = 0.5) -> DataFrame:
-    """``record_a < record_b, confidence``: records of different sources that describe one person.
+#: BM25: saturation, weight of a record's length, and the least score as a share of the greatest weight of a term.
+K1, B, FLOOR = 1.2, 0.3, 0.55
+#: A record counts as nearest if its score is at least this share of the best one of its source.
+NEAR = 0.4
+
+
+def _retrieve(docs: DataFrame, floor: float, mean_length: float) -> DataFrame:
+    """All pairs of records that score the floor or more from both ends, with BM25 scores and the best of either end per source.
 
-    Null or empty fields and fillers give no terms; rows without id or source and repeated ids
-    give one record or none; ties in score are all nearest; extra columns are ignored.  Accepted
-    pairs are closed over chains; a pair that only a chain links has its weakest record's confidence.
+    ``docs``: ``cls, source, numbers, terms`` (term, its weight, whether it is proof).  A term occurs once in
+    a record, so a record's score for another is the sum of the shared terms' weights, scaled by the
+    other's length.  MaxScore: a record's lightest terms, whose weights together cannot reach the floor,
+    start no search, which loses no pair above it.
     """
-    post = materialize(_postings(records), "postings")
-    total = post.select("record_id").distinct().count()
-    if not total:
-        return post.select(F.col("record_id").alias("record_a"), F.col("record_id").alias("record_b"), F.lit(1.0).alias("confidence")).where("false")
-    least = min(6.5, 0.6 * math.log(max(total, 2)))
-    idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = materialize(post.join(_clear_terms(post), "term").select("record_id", "source", "term", "numbers", idf.alias("idf")), "weighed")
-    # MaxScore: a record's terms in order of weight; those below the least score together start no search
-    grown = weighed.groupBy("record_id", "source", "numbers").agg(F.array_sort(F.collect_list(F.struct("idf", "term"))).alias("terms"))
-    docs = materialize(grown, "docs")
-    starts = docs.select(
-        "record_id",
-        F.explode(
-            F.aggregate("terms", F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("out")), lambda acc, t: F.struct((acc["sum"] + t["idf"]).alias("sum"), F.when(acc["sum"] + t["idf"] >= least, F.concat(acc["out"], F.array(t["term"]))).otherwise(acc["out"]).alias("out")))["out"]
-        ).alias("term"),
+    scale = lambda n: (K1 + 1) / (1 + K1 * (1 - B + B * n / mean_length))
+    most = (K1 + 1) / (1 + K1 * (1 - B))
+    summed = F.aggregate(
+        F.array_sort(F.transform("terms", lambda t: F.struct(t["w"].alias("w"), t["t"].alias("t")))), F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, t: F.struct((acc["sum"] + t["w"]).alias("sum"), F.when((acc["sum"] + t["w"]) * most >= floor, F.concat(acc["out"], F.array(t["t"]))).otherwise(acc["out"]).alias("out")),
     )
-    left, right = starts.select("term", F.col("record_id").alias("x")), weighed.select("term", F.col("record_id").alias("y"))
-    pairs = left.join(right, "term").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda s: docs.select(F.col("record_id").alias(s), F.col("source").alias(f"source_{s}"), F.split("numbers", " ").alias(f"num_{s}"), F.col("terms").alias(f"terms_{s}"))
+    starts = docs.select(F.col("cls").alias("x"), F.explode(summed["out"]).alias("term"))
+    index = docs.select(F.col("cls").alias("y"), F.explode("terms.t").alias("term"))
+    pairs = starts.join(index, "term").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda s: docs.select(F.col("cls").alias(s), F.col("source").alias(f"source_{s}"), F.col("numbers").alias(f"num_{s}"), F.col("terms").alias(f"terms_{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.filter("terms_a", lambda t: F.array_contains(F.col("terms_b.term"), t["term"]))
-    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, t: s + t["idf"])
-    proof = F.exists("shared", lambda t: t["term"].startswith("e:") | t["term"].startswith("k:"))
-    clash = (F.col("num_a")[0] != "") & (F.col("num_b")[0] != "") & ~F.arrays_overlap("num_a", "num_b")
-    scored = full.withColumn("shared", shared).select(
-        "a", "b", "source_a", "source_b", add(F.col("shared")).alias("score"), add(F.filter("shared", lambda t: ~t["term"].startswith("e:"))).alias("rest"), F.coalesce(proof, F.lit(False)).alias("proof"), F.coalesce(clash, F.lit(False)).alias("clash")
-    )
-    scored = materialize(scored.where(F.col("score") >= least), "scored")
+    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, t: s + t["w"])
+    clash = (F.size("num_a") > 0) & (F.size("num_b") > 0) & ~F.arrays_overlap("num_a", "num_b")
+    full = full.select("a", "b", "source_a", "source_b", clash.alias("clash"), scale(F.size("terms_b")).alias("sb"), scale(F.size("terms_a")).alias("sa"), F.filter("terms_a", lambda t: F.array_contains(F.col("terms_b.t"), t["t"])).alias("shared"))
+    proof = F.exists("shared", lambda t: t["p"])
+    scored = full.select("a", "b", "source_a", "source_b", "clash", "sa", "sb", add(F.col("shared")).alias("sum"), add(F.filter("shared", lambda t: ~t["p"])).alias("rest"), proof.alias("proof"))
+    scored = materialize(scored.where(F.col("sum") * F.greatest("sa", "sb") >= floor), "scored")
+    # the best of a record's candidates per source, from either end, with and without proof
+    ends = scored.select(F.explode(F.array(F.struct(F.col("a").alias("r"), F.col("source_b").alias("s"), (F.col("sum") * F.col("sb")).alias("v"), (F.col("rest") * F.col("sb")).alias("u")), F.struct(F.col("b").alias("r"), F.col("source_a").alias("s"), (F.col("sum") * F.col("sa")).alias("v"), (F.col("rest") * F.col("sa")).alias("u")))).alias("e")).select("e.*")
+    best = materialize(ends.groupBy("r", "s").agg(F.max("v").alias("v"), F.max("u").alias("u")), "best")
+    end = lambda r, s: best.select(F.col("r").alias(r), F.col("s").alias(s), F.col("v").alias(f"v_{r}"), F.col("u").alias(f"u_{r}"))
+    near = scored.join(end("a", "source_b"), ["a", "source_b"]).join(end("b", "source_a"), ["b", "source_a"])
+    share = lambda c, u: F.least(F.try_divide(F.col(c) * F.col("sb"), F.col(f"{u}_a")), F.try_divide(F.col(c) * F.col("sa"), F.col(f"{u}_b")))
+    score = lambda c: F.col(c) * F.sqrt(F.col("sa") * F.col("sb")) / floor
+    out = materialize(near.select("a", "b", "source_a", "source_b", "clash", "proof", score("sum").alias("score"), (1 - share("sum", "v")).alias("gap"), score("rest").alias("rest"), (1 - F.coalesce(share("rest", "u"), F.lit(0.0))).alias("rest_gap")), "near")
+    release(scored)
+    release(best)
+    return out
 
-    # nearest per record and source, from either end; the gap to it is 0 for the nearest themselves
-    ends = scored.select(F.explode(F.array(F.struct(F.col("a").alias("r"), F.col("source_b").alias("s"), "score"), F.struct(F.col("b").alias("r"), F.col("source_a").alias("s"), "score"))).alias("e")).select("e.*")
-    best = materialize(ends.groupBy("r", "s").agg(F.max("score").alias("best")), "best")
-    near = scored.join(best.select(F.col("r").alias("a"), F.col("s").alias("source_b"), F.col("best").alias("best_a")), ["a", "source_b"]).join(best.select(F.col("r").alias("b"), F.col("s").alias("source_a"), F.col("best").alias("best_b")), ["b", "source_a"])
-    gap = F.greatest("best_a", "best_b") - F.col("score")
-    near = materialize(near.withColumn("gap", gap), "near")
-    for table in (post, weighed, scored, best):
-        release(table)
+
+def _calibrate(near: DataFrame) -> tuple[float, float, float]:
+    """Logistic weights of score and gap, from pairs that shared addresses or numbers prove and different numbers disprove.
+
+    What proves a pair is left out of its features, so the labels are not among them.
+    """
 
     def sample(where: str, label: int) -> pd.DataFrame:
-        return near.where(where).select("a", "b", "rest", "score", "gap").orderBy(F.xxhash64("a", "b")).limit(CALIBRATION_PAIRS).toPandas().assign(y=label)
-
-    known = pd.concat([sample("proof AND NOT clash", 1), sample("clash AND NOT proof", 0)])
-    # without proof from the data: pass from the least score on
-    w = np.array([0.5, 0.4, -0.2])
-    if known["y"].nunique() == 2:
-        x = np.column_stack([known["rest"] - least, known["gap"]])
-        share = np.where(known["y"] == 1, 0.5 / max((known["y"] == 1).mean(), 1e-9), 0.5 / max((known["y"] == 0).mean(), 1e-9))
-        w = _fit(x, known["y"].to_numpy(float), share)
-    w[1], w[2] = max(w[1], 0.0), min(w[2], 0.0)
-    odds = float(w[0]) + float(w[1]) * (F.col("score") - least) + float(w[2]) * F.col("gap")
-    confidence = F.when(F.col("proof"), F.greatest(1 / (1 + F.exp(-odds)), F.lit(0.95))).when(F.col("clash"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds)))
-    sure = materialize(near.withColumn("confidence", confidence).where(F.col("confidence") >= least_confidence).select("a", "b", "source_a", "source_b", "confidence"), "sure")
+        return near.where(where).select("a", "b", "rest", "rest_gap").orderBy(F.xxhash64("a", "b")).limit(CALIBRATION_PAIRS).toPandas().assign(y=label)
+
+    known = pd.concat([sample("proof AND NOT clash AND rest > 0", 1), sample("clash AND NOT proof", 0)])
+    if known["y"].nunique() < 2:
+        return -1.0, 2.0, -4.0  # without proof from the data: a pair needs more than the floor, and no better partner
+    share = np.where(known["y"] == 1, 0.5 / max((known["y"] == 1).mean(), 1e-9), 0.5 / max((known["y"] == 0).mean(), 1e-9))
+    w = _fit(known[["rest", "rest_gap"]].to_numpy(float), known["y"].to_numpy(float), share)
+    return float(w[0]), max(float(w[1]), 0.0), min(float(w[2]), 0.0)
+
+
+def _accepted(near: DataFrame, weights: tuple[float, float, float], least: float) -> DataFrame:
+    """Mutually nearest pairs that no number contradicts, with calibrated confidence."""
+    odds = weights[0] + weights[1] * F.col("score") + weights[2] * F.col("gap")
+    return near.where((F.col("gap") <= 1 - NEAR) & ~F.col("clash")).withColumn("confidence", 1 / (1 + F.exp(-odds))).where(F.col("confidence") >= least).select("a", "b", "source_a", "source_b", "confidence")
+
+
+def match_records(records: DataFrame, least_confidence: float = 0.5) -> DataFrame:
+    """``record_a < record_b, confidence``: records of different sources that describe one person.
+
+    Records of a source alike in every attribute are one class; classes retrieve each other by BM25
+    over all attributes.  Two are matched if each is the other's nearest of its source, or near to it
+    (ties and repeats of a person are all nearest), and the logistic model of score and gap trusts it.
+    In a second round every class carries the terms of its matches too (relevance feedback), so that
+    records meet that only a third one relates; the same tests decide.
+
+    Null or empty fields and fillers give no terms; rows without id or source are no records, a
+    repeated id is one; extra columns are ignored.
+    """
+    rows = materialize(_records(records), "records")
+    alike = materialize(rows.groupBy("source", "name", "emails", "handles").agg(F.min("record_id").alias("cls"), F.collect_list("record_id").alias("members")), "alike")
+    post = materialize(_postings(alike.select("cls", "name", "emails", "handles")), "postings")
+    total = alike.count()
+    if not total:
+        return rows.select(F.col("record_id").alias("record_a"), F.col("record_id").alias("record_b"), F.lit(1.0).alias("confidence")).where("false")
+    idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    floor = FLOOR * math.log(max(total, 2))
+    clear = _clear_terms(post).select("term", "proof", idf.alias("w"))
+    held = post.select("cls", "term", "numbers").join(clear, "term").groupBy("cls", "numbers").agg(F.collect_list(F.struct(F.col("term").alias("t"), "w", F.col("proof").alias("p"))).alias("terms"))
+    docs = materialize(held.join(alike.select("cls", "source"), "cls"), "docs")
+    mean_length = docs.agg(F.avg(F.size("terms"))).first()[0] or 1.0
+    release(post)
 
+    near = _retrieve(docs, floor, mean_length)
+    weights = _calibrate(near)
+    sure = materialize(_accepted(near, weights, least_confidence), "sure")
     release(near)
-    groups = materialize(connected_groups(sure, "a", "b"), "people")
-    weakest = sure.select(F.explode(F.array("a", "b")).alias("member"), "confidence").groupBy("member").agg(F.max("confidence").alias("own"))
-    who = groups.join(weakest, "member").join(docs.select(F.col("record_id").alias("member"), "source"), "member")
-    who = materialize(who, "who")
-    p, q = who.select("group_id", F.col("member").alias("a"), F.col("source").alias("sa"), F.col("own").alias("ca")), who.select("group_id", F.col("member").alias("b"), F.col("source").alias("sb"), F.col("own").alias("cb"))
-    closed = p.join(q, "group_id").where("a < b AND sa <> sb").select("a", "b", F.least("ca", "cb").alias("chained"))
-    direct = sure.select("a", "b", "confidence")
-    return closed.join(direct, ["a", "b"], "left").select(F.col("a").alias("record_a"), F.col("b").alias("record_b"), F.round(F.coalesce("confidence", "chained"), 6).alias("confidence"))
+    lent = sure.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("of")), F.struct(F.col("b").alias("cls"), F.col("a").alias("of")))).alias("e")).select("e.*")
+    lent = lent.join(docs.select(F.col("cls").alias("of"), F.col("numbers").alias("n"), F.col("terms").alias("t")), "of").groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("n"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
+    wide = docs.join(lent, "cls", "left").select("cls", "source", F.array_union("numbers", F.coalesce("n", F.array().cast("array<string>"))).alias("numbers"), F.array_union("terms", F.coalesce("t", F.filter("terms", lambda t: F.lit(False)))).alias("terms"))
+    wide = materialize(wide, "docs")
+    again = _retrieve(wide, floor, wide.agg(F.avg(F.size("terms"))).first()[0] or 1.0)
+    both = _accepted(again, weights, least_confidence).unionByName(sure).where("source_a <> source_b").groupBy("a", "b").agg(F.max("confidence").alias("confidence"))
+    member = lambda c: alike.select(F.col("cls").alias(c), F.explode("members").alias(f"record_{c}"))
+    out = both.join(member("a"), "a").join(member("b"), "b")
+    return out.select(F.least("record_a", "record_b").alias("record_a"), F.greatest("record_a", "record_b").alias("record_b"), F.round("confidence", 6).alias("confidence"))
