@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,6 +61,12 @@ def build_automaton(items: list[tuple[int, str]]):
     return auto, words, {i: {k for k, w in enumerate(ws) if spread[w] <= rare} for i, ws in words.items()}
 
 
+@lru_cache(maxsize=2)
+def _automaton_of(block: tuple[tuple[int, str], ...]):
+    """One automaton per block and Python worker, shared by the tasks that the worker runs."""
+    return build_automaton(list(block))
+
+
 def _stretches(hits: list[tuple[int, int]], item: list[str], text: list[str], distinctive: set[int]) -> list[tuple[int, int, int, int]]:
     """Item and text ranges ``(i0, i1, t0, t1)`` carried in order, from ``(item place, text place)`` word hits."""
     out, open_, done = [], [], []
@@ -135,8 +142,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = 0.5) -> Da
     out = None
     for block in blocks:
 
-        def scan(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            auto, words, distinctive = build_automaton(block)
+        def scan(frames: Iterator[pd.DataFrame], block=tuple(block)) -> Iterator[pd.DataFrame]:
+            auto, words, distinctive = _automaton_of(block)
             for frame in frames:
                 rows = [(d, *r) for d, t in zip(frame["doc_id"], frame["text"]) for r in scan_text(t, auto, words, distinctive) if r[1] >= least]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "start", "end"]).astype({"doc_id": "int64", "item_id": "int64", "share": "float64", "start": "int64", "end": "int64"})

@@ -13,6 +13,7 @@ import base64
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ BINS = 4096
 MAX_SOURCES = 10_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _ENCODERS: dict[str, object] = {}
-_LONG = 100_000
 
 
 def _encoder(path: str):
@@ -49,19 +49,8 @@ def count_tokens(documents: DataFrame, text_col: str = "text", out_col: str = "n
     return documents.withColumn(out_col, F.pandas_udf(count, "long")(F.col(text_col)))
 
 
-def poisson_quantile(u: float, rate: float, cap: int) -> int:
-    """The least k at which the Poisson distribution of mean ``rate`` reaches ``u``, cut at ``cap``."""
-    term = total = math.exp(-rate)
-    k = 0
-    while total < u and k < cap:
-        k += 1
-        term *= rate / k
-        total += term
-    return k
-
-
-def _thresholds(rate: float, cap: int) -> list[float]:
-    """Uniform numbers above which a document is repeated 1, 2, ..., ``cap`` times."""
+def poisson_thresholds(rate: float, cap: int) -> list[float]:
+    """The inverted Poisson distribution of mean ``rate``: uniform numbers above which a document is repeated 1, 2, ..., ``cap`` times."""
     out, term = [], math.exp(-rate)
     total = term
     for k in range(cap):
@@ -73,11 +62,11 @@ def _thresholds(rate: float, cap: int) -> list[float]:
 
 def solve_rate(bins: dict[int, int], goal: float, cap: int) -> float:
     """The rate at which the binned tokens, repeated, come closest to ``goal`` tokens."""
-    edges = sorted(bins)
+    middle = (np.array(sorted(bins)) + 0.5) / BINS
+    tokens = np.array([bins[b] for b in sorted(bins)], dtype=float)
 
     def reached(rate: float) -> float:
-        marks = _thresholds(rate, cap)
-        return sum(bins[b] * sum(1 for m in marks if (b + 0.5) / BINS > m) for b in edges)
+        return float(tokens @ np.searchsorted(np.array(poisson_thresholds(rate, cap)), middle, side="left"))
 
     low, high = 0.0, 1.0
     while reached(high) < goal and high < 700:
@@ -113,14 +102,13 @@ def mix_plan(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizer:
     able = {s: wanted[s] for s in sizes if wanted[s][1] > 0}
     shares = sum(t for t, _ in able.values())
     total = min((cap * sizes[s] / (t / shares) for s, (t, cap) in able.items()), default=0.0)
-    repeats = F.lit(0)
+    marks = []
     for s, (t, cap) in sorted(able.items()):
         goal = total * t / shares
-        full = goal >= cap * sizes[s] * (1 - 1e-12)
-        marks = [-1.0] * cap if full else _thresholds(solve_rate(histogram[s], goal, cap), cap)
-        count = sum((F.when(F.col("u") > m, 1).otherwise(0) for m in marks), F.lit(0))
-        repeats = F.when(F.col("source") == s, count).otherwise(repeats)
-    return counted.select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats"))
+        marks.append((s, [-1.0] * cap if goal >= cap * sizes[s] * (1 - 1e-12) else poisson_thresholds(solve_rate(histogram[s], goal, cap), cap)))
+    drawn = documents.sparkSession.createDataFrame(marks, "source string, marks array<double>")  # at most MAX_SOURCES rows
+    repeats = F.coalesce(F.size(F.filter("marks", lambda m: m < F.col("u"))), F.lit(0))
+    return counted.join(F.broadcast(drawn), "source", "left").select("doc_id", "source", "n_tokens", F.when(F.col("marks").isNull(), 0).otherwise(repeats).cast("int").alias("repeats"))
 
 
 def mixed_documents(plan: DataFrame, seed: int = 7) -> DataFrame:

@@ -2,7 +2,25 @@ import math
 
 import pytest
 
-from lodestream.llm.mixing import count_tokens, mix_plan, mix_report, mixed_documents, poisson_quantile, solve_rate
+from lodestream.llm.mixing import count_tokens, mix_plan, mix_report, mixed_documents, poisson_thresholds, solve_rate
+
+
+def poisson_quantile(u, rate, cap):
+    """Brute force: the least k at which the Poisson distribution of mean ``rate`` reaches ``u``, cut at ``cap``."""
+    term = total = math.exp(-rate)
+    k = 0
+    while total < u and k < cap:
+        k += 1
+        term *= rate / k
+        total += term
+    return k
+
+
+def test_thresholds_are_the_inverse_distribution():
+    for rate in (0.05, 0.9, 3.3, 40.0):
+        marks = poisson_thresholds(rate, 60)
+        for k in range(1, 500):
+            assert sum(m < k / 500 for m in marks) == poisson_quantile(k / 500, rate, 60)
 
 
 def test_poisson_quantile_inverts_the_distribution():
