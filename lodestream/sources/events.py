@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SIGNAL_SCHEMA = "id string, content string, source string, channel string, author string, timestamp timestamp, metadata string"
 BOTS = ("dependabot", "dependabot[bot]", "renovate", "renovate[bot]", "github-actions", "github-actions[bot]", "linear", "codecov")
@@ -62,6 +62,9 @@ class SignalLines(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _LineReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _LineStream(self.options)
+
 
 class _LineReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -81,3 +84,19 @@ class _LineReader(DataSourceReader):
                     continue
                 if isinstance(r, dict) and str(r.get("timestamp") or "") >= self.since:
                     yield tuple(None if r.get(k) is None else r[k] if isinstance(r[k], str) else json.dumps(r[k]) for k in ("id", "content", "source", "channel", "author", "timestamp", "metadata"))
+
+
+class _LineStream(_LineReader, DataSourceStreamReader):
+    """The same folder as a stream: an offset is how many of its files (by name) have been read, new names must sort behind."""
+
+    def _files(self) -> list[str]:
+        return sorted(glob.glob(os.path.join(self.path, "*.json*")))
+
+    def initialOffset(self) -> dict:
+        return {"files": 0}
+
+    def latestOffset(self) -> dict:
+        return {"files": len(self._files())}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_File(p) for p in self._files()[start["files"] : end["files"]]]
