@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators.skew import HOT_SHARE, join_unique
-from lodestream.scratch import materialize
+from lodestream.scratch import materialize, path_exists, scratch_path
 
 #: Written so, a timestamp is unambiguous already.
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|\+00:00)$"
@@ -127,26 +127,45 @@ def instant_dictionary(rows: DataFrame, feeds: DataFrame, known: DataFrame | Non
     Values that ``known`` (an earlier dictionary) already has are taken from it and not parsed
     again.  A null feed is a feed of its own.
     """
+    values = rows.where("text IS NOT NULL").groupBy("feed", "text").agg(F.count(F.lit(1)).alias("n"))
+    if known is None:
+        return materialize(_parsed(values, feeds), "instants")
+    match = F.col("k.feed").eqNullSafe(values["feed"]) & (F.col("k.text") == values["text"])
+    old = values.join(known.select("feed", "text", "utc_us").alias("k"), match).select(values["feed"], values["text"], "n", "utc_us")
+    fresh = values.join(known.select("feed", "text").alias("k"), match, "left_anti")
+    return materialize(_parsed(fresh, feeds).unionByName(old), "instants")
+
+
+def _parsed(values: DataFrame, feeds: DataFrame) -> DataFrame:
     rules = feeds.where("feed IS NOT NULL").groupBy("feed").agg(F.min_by("zone", "zone").alias("zone"), F.min_by("date_order", "zone").alias("date_order"))
     zones = [r[0] for r in rules.select("zone").distinct().where("zone IS NOT NULL").limit(len(available_timezones()) + 1).collect() if r[0] in available_timezones()]
     rules = rules.where(F.col("zone").isin(zones)) if zones else rules.where("false")
     if rules.count() <= MAX_BROADCAST_FEEDS:
         rules = F.broadcast(rules)
+    return parse_instant(values.join(rules, "feed", "left"), "text", "zone", "date_order", zone_abbreviations(zones)).select("feed", "text", "n", "utc_us")
+
+
+def extend_dictionary(path: str, rows: DataFrame, feeds: DataFrame) -> DataFrame:
+    """The dictionary kept at ``path``, extended by the values of a batch ``rows(feed, text)`` that it lacks.
+
+    Only those are parsed and appended, as files of their own; earlier batches' files stay as they
+    are, so the folder can be kept from run to run.  ``n`` counts a value's rows in the batch that brought it.
+    """
+    spark = rows.sparkSession
     values = rows.where("text IS NOT NULL").groupBy("feed", "text").agg(F.count(F.lit(1)).alias("n"))
-    if known is not None:
-        old = values.join(known.select("feed", "text", "utc_us").alias("k"), F.col("k.feed").eqNullSafe(values["feed"]) & (F.col("k.text") == values["text"])).select(values["feed"], values["text"], "n", "utc_us")
-        values = values.join(known.select("feed", "text").alias("k"), F.col("k.feed").eqNullSafe(values["feed"]) & (F.col("k.text") == values["text"]), "left_anti")
-    parsed = parse_instant(values.join(rules, "feed", "left"), "text", "zone", "date_order", zone_abbreviations(zones)).select("feed", "text", "n", "utc_us")
-    return materialize(parsed if known is None else parsed.unionByName(old), "instants")
+    if path_exists(spark, path):
+        kept = spark.read.schema("feed string, text string, n long, utc_us long").parquet(path)
+        values = values.join(kept.select("feed", "text").alias("k"), F.col("k.feed").eqNullSafe(values["feed"]) & (F.col("k.text") == values["text"]), "left_anti")
+    _parsed(values, feeds).write.mode("append").parquet(path)
+    return spark.read.schema("feed string, text string, n long, utc_us long").parquet(path)
 
 
-def normalised_instants(rows: DataFrame, feeds: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``rows`` (with ``feed`` and ``text``; other columns are kept) that denote an instant, with ``utc_us``.
+def joined_instants(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` (with ``feed`` and ``text``; other columns are kept) that denote an instant by a dictionary, with ``utc_us``.
 
-    Values are joined through the dictionary; a value that makes up a large part of all rows (by
-    the dictionary's own counts, so at most 500 of them) meets a broadcast instead of a shuffle.
+    A value that makes up a large part of all rows (by the dictionary's own counts, so at most 500
+    of them) meets a broadcast instead of a shuffle.
     """
-    words = instant_dictionary(rows, feeds, known)
     total = words.agg(F.sum("n")).first()[0] or 0
     key = F.concat_ws("\x1f", F.coalesce(F.col("feed"), F.lit("\x00")), "text")
     words = words.withColumn("__key", key)
@@ -155,9 +174,21 @@ def normalised_instants(rows: DataFrame, feeds: DataFrame, known: DataFrame | No
     return join_unique(rows.where("text IS NOT NULL").withColumn("__key", key), found, "__key", hot).drop("__key")
 
 
-def delivered_instants(signals: DataFrame, budget_entries: DataFrame, feeds: DataFrame) -> DataFrame:
-    """``tbl, row_no, utc_us`` of every row whose timestamp denotes an instant and is not written canonically."""
+def normalised_instants(rows: DataFrame, feeds: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``rows`` (with ``feed`` and ``text``; other columns are kept) that denote an instant, with ``utc_us``."""
+    return joined_instants(rows, instant_dictionary(rows, feeds, known))
+
+
+def delivered_instants(signals: DataFrame, budget_entries: DataFrame, feeds: DataFrame, store: str | None = None) -> DataFrame:
+    """``tbl, row_no, utc_us`` of every row whose timestamp denotes an instant and is not written canonically.
+
+    The tables are two batches of one kept dictionary: the second parses only what the first did not
+    bring.  ``store`` is its folder; without one it lives as long as the application.
+    """
+    store = store or scratch_path(signals.sparkSession, "instants")
     one = signals.select(F.lit("signals").alias("tbl"), F.col("delivery_no").alias("row_no"), "feed", F.col("timestamp").alias("text"))
     two = budget_entries.select(F.lit("budget_entries").alias("tbl"), F.col("entry_no").alias("row_no"), "feed", F.col("timestamp").alias("text"))
-    rows = one.unionByName(two).where(F.col("text").isNotNull() & ~F.col("text").rlike(CANONICAL))
-    return normalised_instants(rows, feeds).select("tbl", "row_no", "utc_us")
+    batches = [b.where(F.col("text").isNotNull() & ~F.col("text").rlike(CANONICAL)) for b in (one, two)]
+    for batch in batches:
+        words = extend_dictionary(store, batch, feeds)
+    return joined_instants(batches[0].unionByName(batches[1]), words).select("tbl", "row_no", "utc_us")

@@ -74,3 +74,17 @@ def test_dictionary_grows(spark):
 @pytest.mark.parametrize("text", ["2023-04-01", "Apr 1, 2023 10:00 AM"])
 def test_other_common_writings(spark, text):
     assert delivered_instants(*tables(spark, [("utc", text)])).count() == 1
+
+
+def test_a_kept_dictionary_parses_each_value_once(spark, tmp_path):
+    from lodestream.operators.instants import extend_dictionary
+
+    feeds = spark.createDataFrame([("f", "x", "UTC", "ymd")], "feed string, source string, zone string, date_order string")
+    rows = lambda *texts: spark.createDataFrame([("f", t) for t in texts], "feed string, text string")
+    path = f"{tmp_path}/words"
+    one = extend_dictionary(path, rows("2024-01-02 03:04:05", "nonsense", "2024-01-02 03:04:05"), feeds)
+    assert one.count() == 2
+    before = {f.name for f in (tmp_path / "words").iterdir()}
+    two = extend_dictionary(path, rows("nonsense", "2024-01-02 03:04:06", None), feeds)
+    assert two.count() == 3 and two.where("utc_us IS NOT NULL").count() == 2
+    assert before <= {f.name for f in (tmp_path / "words").iterdir()}
