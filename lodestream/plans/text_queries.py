@@ -253,6 +253,9 @@ def code_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+SQL["code_vocabulary"] = r"SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(text, '[._/\\-]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), '\s+'), lambda t: length(t) >= 2)) AS token FROM documents WHERE text IS NOT NULL) GROUP BY token"
+
+
 def inquiry_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _signals(spark, sf_dir).where("content IS NOT NULL")
     found = F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Z]{2,}-\d+|#\d{2,}|GH-\d+"), F.lit(0))))

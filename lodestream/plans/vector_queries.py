@@ -34,6 +34,9 @@ def hashed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_in_cells(rows.where("vec_id % 100 = 0"), rows, "vec_id", "v", DIM, 5).select("query_id", "id", _R("cosine", 5).alias("cosine"), "rank")
 
 
+SQL["hashed_neighbours"] = SQL["cosine_topk"]
+
+
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _vectors(spark, sf_dir).where("label IS NOT NULL").select("label", F.posexplode("v").alias("dim", "x"))
     return parts.groupBy("label", "dim").agg(_R(F.avg("x")).alias("mean"))
