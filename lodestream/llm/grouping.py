@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators.skew import hot_keys, join_unique
-from lodestream.scratch import materialize, release
+from lodestream.scratch import materialize, release, together
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -53,11 +53,11 @@ def _solve_core(edges: DataFrame) -> DataFrame:
     while True:
         both = _both_ways(now)
         least = both.groupBy("v").agg(F.least(F.min("nb"), F.col("v")).alias("m"))
-        hot = hot_keys(both, "v")
+        hot = hot_keys(both, "v")  # a vertex has no more rows below than here
         large = join_unique(both, least, "v", hot).where("nb > v").select(*_pair(F.col("nb"), F.col("m"))).where("u <> w").distinct()
         down = large.select(F.col("w").alias("v"), F.col("u").alias("nb"))
         low = down.groupBy("v").agg(F.min("nb").alias("m"))
-        small = join_unique(down, low, "v", hot_keys(down, "v")).select(F.explode(F.array(F.struct("nb", "m"), F.struct(F.col("v").alias("nb"), F.col("m")))).alias("e")).select(*_pair(F.col("e.nb"), F.col("e.m"))).where("u <> w").distinct()
+        small = join_unique(down, low, "v", hot).select(F.explode(F.array(F.struct("nb", "m"), F.struct(F.col("v").alias("nb"), F.col("m")))).alias("e")).select(*_pair(F.col("e.nb"), F.col("e.m"))).where("u <> w").distinct()
         before, now = now, materialize(small, "core")
         if before is not edges:
             release(before)
@@ -89,18 +89,19 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
         release(before)
         release(degree)
     empty = edges.select(F.col("u").alias("v"), F.col("u").alias("root")).where("false")
-    known = empty if core.isEmpty() else materialize(_solve_core(core), "labels")
+    tables = [materialize(empty if core.isEmpty() else _solve_core(core), "labels")]
     for removed in reversed(history):
+        known = together(tables)
         part = removed.select("v", "onto", "kind")
         # an end that is neither removed nor labelled is the last vertex of its component: its own root
         fresh = part.select(F.col("onto").alias("v")).distinct().join(part.select("v").unionByName(known.select("v")), "v", "left_anti")
-        labelled = known.unionByName(fresh.select("v", F.col("v").alias("root")))
+        found = fresh.select("v", F.col("v").alias("root"))
         for kind in (2, 1):
-            label = labelled.select(F.col("v").alias("onto"), "root")
-            labelled = labelled.unionByName(join_unique(part.where(F.col("kind") == kind), label, "onto", hot).select("v", "root"))
-        before, known = known, materialize(labelled, "labels")
-        release(before)
+            label = known.unionByName(found).select(F.col("v").alias("onto"), "root")
+            found = found.unionByName(join_unique(part.where(F.col("kind") == kind), label, "onto", hot).select("v", "root"))
+        tables.append(materialize(found, "labels"))
         release(removed)
+    known = together(tables)
     least = known.groupBy("root").agg(F.min("v").alias("group_id"))
     return join_unique(known, least, "root", hot_keys(known, "root")).select(F.col("v").alias("member"), "group_id")
 
