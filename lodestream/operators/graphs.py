@@ -100,10 +100,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = now.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("w").alias("nb")), F.struct(F.col("w").alias("v"), F.col("u").alias("nb")))).alias("e")).select("e.*")
         least = both.groupBy("v").agg(F.least(F.min("nb"), F.col("v")).alias("m"))
-        large = join_unique(both, least, "v", hot_keys(both, "v")).where("nb > v").select(*pair(F.col("nb"), F.col("m"))).where("u <> w").distinct()
+        hot = hot_keys(both, "v")  # a vertex has no more rows below than here
+        large = join_unique(both, least, "v", hot).where("nb > v").select(*pair(F.col("nb"), F.col("m"))).where("u <> w").distinct()
         down = large.select(F.col("w").alias("v"), F.col("u").alias("nb"))
         low = down.groupBy("v").agg(F.min("nb").alias("m"))
-        small = join_unique(down, low, "v", hot_keys(down, "v")).select(F.explode(F.array(F.struct("nb", "m"), F.struct(F.col("v").alias("nb"), F.col("m")))).alias("e")).select(*pair(F.col("e.nb"), F.col("e.m"))).where("u <> w").distinct()
+        small = join_unique(down, low, "v", hot).select(F.explode(F.array(F.struct("nb", "m"), F.struct(F.col("v").alias("nb"), F.col("m")))).alias("e")).select(*pair(F.col("e.nb"), F.col("e.m"))).where("u <> w").distinct()
         before, now = now, materialize(small, "cc")
         release(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
