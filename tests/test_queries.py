@@ -55,6 +55,10 @@ CONTENT = {
     "comm_betweenness": lambda rows: assert_(all(r["score"] >= 0 for r in rows) and any(r["score"] > 0 for r in rows)),
     "worker_peers": _peers,
     "diverse_seeds": lambda rows: assert_(sorted(r["place"] for r in rows) == list(range(1, 13)) and len({r["id"] for r in rows}) == 12),
+    "technical_embeddings": lambda rows: assert_(all(r["length"] in (0.0, 1.0) and 0 <= r["pattern_share"] <= 1 for r in rows) and any(r["pattern_share"] > 0 for r in rows)),
+    "stream_controllers": lambda rows: assert_(all(-1 <= r["output"] <= 1 and -10 <= r["integral"] <= 10 for r in rows)),
+    "stream_stability": lambda rows: assert_({r["status"] for r in rows} <= {-1.0, 0.0, 1.0}),
+    "sketches": lambda rows: assert_(all(r["n_authors"] > 0 and 0 <= r["median_second"] < 60 for r in rows)),
     "bloom_overlaps": _bloom,
     "bloom_membership": lambda rows: assert_(all(r["n_own"] == r["n_terms"] <= r["n_claimed"] for r in rows)),
 }

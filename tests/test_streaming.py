@@ -59,3 +59,34 @@ def test_repeats_in_later_batches_are_dropped(spark, tmp_path):
     stream = _files(spark, tmp_path, [rows(1, 5), rows(2, 6), rows(3, 5)], "delivery_no long, content string, source string, channel string, author string, metadata string, received_at timestamp")
     out = S.run_available(S.first_deliveries_stream(stream, "30 days").select("delivery_no", "message"), "dedup")
     assert out.count() == 3 and {r["delivery_no"] for r in out.collect()} == {1, 5, 6}
+
+
+@pytest.mark.parametrize("name", ["pid", "temperature", "change_rate", "feedback_rate", "stability"])
+def test_recurrences_are_folded_in_order_over_batches(spark, tmp_path, name):
+    from lodestream.streaming import recurrences as R
+
+    start, step = getattr(R, name)()
+    names = [f"s{k}" for k in range(len(start))]
+    values = [0.5, 1.9, -0.3, 1.22, 1.24, 1.16, 0.9, 0.77, 0.76, 3.0, 0.0, 1.0]
+    batches = [[("a", at(1 + k), v) for k, v in enumerate(values[:5])][::-1], [("a", at(1 + k), v) for k, v in enumerate(values) if 5 <= k < 9] + [("b", at(1), 2.0), (None, at(1), 1.0), ("a", at(20), None)], [("a", at(1 + k), v) for k, v in enumerate(values) if k >= 9]]
+    out = S.run_available(R.fold_stream(_files(spark, tmp_path, batches, "k string, ts timestamp, v double"), "k", ["ts"], "v", names, start, step), "fold", "update")
+    state = start
+    for v in values:
+        state = step(state, v)
+    last = out.where("k = 'a'").orderBy(F.desc("batch_no")).first()
+    assert [last[c] for c in names] == pytest.approx(list(state)) and last["n"] == len(values)
+
+
+def test_controller_and_hysteresis_by_hand():
+    from lodestream.streaming import recurrences as R
+
+    start, step = R.pid()
+    one = step(start, 0.2)
+    assert one == pytest.approx((0.5, 0.5, 0.3 * 0.5 + 0.05 * 0.5))  # no derivative at first
+    assert step(one, 0.7) == pytest.approx((0.5, 0.0, 0.05 * 0.5 + 0.1 * -0.5))
+    start, step = R.stability(alpha=1.0)
+    seen, state = [], start
+    for v in (1.0, 1.24, 1.26, 1.17, 1.14, 0.76, 0.74, 0.84, 0.86):
+        state = step(state, v)
+        seen.append(state[1])
+    assert seen == [0, 0, 1, 1, 0, 0, -1, -1, 0]
