@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators.skew import hot_keys, join_unique
-from lodestream.scratch import materialize, release, together
+from lodestream.scratch import materialize, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -89,19 +89,19 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
         release(before)
         release(degree)
     empty = edges.select(F.col("u").alias("v"), F.col("u").alias("root")).where("false")
-    tables = [materialize(empty if core.isEmpty() else _solve_core(core), "labels")]
+    known = empty if core.isEmpty() else materialize(_solve_core(core), "labels")
     for removed in reversed(history):
-        known = together(tables)
         part = removed.select("v", "onto", "kind")
         # an end that is neither removed nor labelled is the last vertex of its component: its own root
         fresh = part.select(F.col("onto").alias("v")).distinct().join(part.select("v").unionByName(known.select("v")), "v", "left_anti")
-        found = fresh.select("v", F.col("v").alias("root"))
+        labelled = known.unionByName(fresh.select("v", F.col("v").alias("root")))
         for kind in (2, 1):
-            label = known.unionByName(found).select(F.col("v").alias("onto"), "root")
-            found = found.unionByName(join_unique(part.where(F.col("kind") == kind), label, "onto", hot).select("v", "root"))
-        tables.append(materialize(found, "labels"))
+            label = labelled.select(F.col("v").alias("onto"), "root")
+            labelled = labelled.unionByName(join_unique(part.where(F.col("kind") == kind), label, "onto", hot).select("v", "root"))
+        # rounds shrink geometrically, so writing all labels anew costs a small multiple of the vertices in total
+        before, known = known, materialize(labelled, "labels")
+        release(before)
         release(removed)
-    known = together(tables)
     least = known.groupBy("root").agg(F.min("v").alias("group_id"))
     return join_unique(known, least, "root", hot_keys(known, "root")).select(F.col("v").alias("member"), "group_id")
 
