@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators.skew import hot_keys, join_unique
-from lodestream.scratch import materialize, release, together
+from lodestream.scratch import materialize, release
 
 CYCLE = "cycle"
 
@@ -85,18 +85,20 @@ def contract_forest(links: DataFrame, parent_col: str, child_col: str, with_path
     # a contracted loop leaves in its round, but what hangs from it may leave later: loops are known from the start
     for table in removed:
         labels = labels.unionByName(table.where("fate = 2").select("node", F.lit(CYCLE).alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path")))
-    tables = [materialize(labels, "labels")]
+    labels = materialize(labels, "labels")
 
     path = F.concat("path", "between", F.array("node")) if with_path else F.lit(None).cast("array<string>")
     for table in reversed(removed):
-        above = together(tables).withColumnRenamed("node", "parent")
+        above = labels.withColumnRenamed("node", "parent")
         below = join_unique(table.where("fate = 1").select("node", "parent", "links", "between"), above, "parent", hot)
         bad = F.col("root_id") == CYCLE
         new = below.select("node", "root_id", F.when(bad, -1).otherwise(F.col("depth") + F.col("links")).alias("depth"), F.when(~bad, path).alias("path"))
-        tables.append(materialize(new, "labels"))
+        # rounds shrink geometrically, so writing all labels anew costs a small multiple of the nodes in total
+        before, labels = labels, materialize(labels.unionByName(new), "labels")
+        release(before)
         release(table)
     release(first)
-    out = together(tables).withColumnRenamed("node", "node_id")
+    out = labels.withColumnRenamed("node", "node_id")
     return out if with_path else out.drop("path")
 
 

@@ -51,11 +51,6 @@ def materialize(df: DataFrame, name: str = "t", partition_by: str | None = None)
     return out
 
 
-def together(tables: list[DataFrame]) -> DataFrame:
-    """Materialized tables of one schema as one scan: rounds append to it without rewriting what is there."""
-    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._scratch_path for t in tables])
-
-
 def release(df: DataFrame) -> None:
     """Delete the table behind a materialized DataFrame that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
