@@ -215,10 +215,12 @@ def novelty_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     Chance is a hash of the delivery, so a rerun shows the same.
     """
     s = table(spark, sf_dir, "signals").where("channel IS NOT NULL AND received_at IS NOT NULL").select(_channel().alias("channel"), "received_at", "delivery_no")
-    k = s.withColumn("k", F.row_number().over(Window.partitionBy("channel").orderBy("received_at", "delivery_no")) - 1)
-    chance = F.pow(F.lit(0.5), F.col("k").cast("double"))
-    level = F.when(F.col("k") == 0, "detail").when(chance < 0.05, "suppress").when((F.col("delivery_no") * 7919 % 1000) / 1000 < chance, "compact").otherwise("suppress")
-    return k.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    # from the sixth on all is suppressed, so only the first five of a channel are ranked (Spark limits them before the shuffle)
+    first = s.withColumn("k", F.row_number().over(Window.partitionBy("channel").orderBy("received_at", "delivery_no"))).where("k <= 5").withColumn("k", F.col("k") - 1)
+    shown = F.when(F.col("k") == 0, "detail").when((F.col("delivery_no") * 7919 % 1000) / 1000 < F.pow(F.lit(0.5), F.col("k").cast("double")), "compact")
+    some = first.groupBy(shown.alias("level")).agg(F.count(F.lit(1)).alias("n")).where("level IS NOT NULL")
+    rest = s.agg(F.count(F.lit(1)).alias("t")).crossJoin(some.agg(F.sum("n").alias("s"))).select(F.lit("suppress").alias("level"), (F.col("t") - F.col("s")).alias("n")).where("n > 0")
+    return some.unionByName(rest)
 
 
 SQL["novelty_levels"] = f"WITH s AS (SELECT delivery_no, row_number() OVER (PARTITION BY {_SQL_CHANNEL} ORDER BY received_at, delivery_no) - 1 AS k FROM signals WHERE channel IS NOT NULL AND received_at IS NOT NULL) SELECT CASE WHEN k = 0 THEN 'detail' WHEN pow(0.5::DOUBLE, k) < 0.05 THEN 'suppress' WHEN (delivery_no * 7919 % 1000) / 1000 < pow(0.5::DOUBLE, k) THEN 'compact' ELSE 'suppress' END AS level, count(*) AS n FROM s GROUP BY 1"
@@ -227,8 +229,10 @@ SQL["novelty_levels"] = f"WITH s AS (SELECT delivery_no, row_number() OVER (PART
 def window_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every signal, how many others of its channel came in the day before (the time-window cache)."""
     s = table(spark, sf_dir, "signals").where("channel IS NOT NULL AND received_at IS NOT NULL").select("delivery_no", _channel().alias("channel"), F.unix_micros("received_at").alias("us"))
-    w = Window.partitionBy("channel").orderBy("us").rangeBetween(-86_400_000_000, 0)
-    return s.select("channel", (F.count(F.lit(1)).over(w) - 1).alias("n")).groupBy("channel").agg(F.count(F.lit(1)).alias("n_signals"), F.max("n").alias("most"), F.sum("n").alias("total"))
+    # each day of a channel is a group that also holds the day before, so a busy channel is split
+    s = s.withColumn("day", F.floor(F.col("us") / 86_400_000_000)).withColumn("group", F.explode(F.array(F.col("day"), F.col("day") + 1)))
+    w = Window.partitionBy("channel", "group").orderBy("us").rangeBetween(-86_400_000_000, 0)
+    return s.select("channel", "day", "group", (F.count(F.lit(1)).over(w) - 1).alias("n")).where("day = group").groupBy("channel").agg(F.count(F.lit(1)).alias("n_signals"), F.max("n").alias("most"), F.sum("n").alias("total"))
 
 
 SQL["window_authors"] = f"WITH s AS (SELECT {_SQL_CHANNEL} AS channel, epoch_us(received_at) AS us FROM signals WHERE channel IS NOT NULL AND received_at IS NOT NULL), w AS (SELECT channel, count(*) OVER (PARTITION BY channel ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) - 1 AS n FROM s) SELECT channel, count(*) AS n_signals, max(n) AS most, sum(n)::BIGINT AS total FROM w GROUP BY channel"

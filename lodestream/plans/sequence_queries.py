@@ -79,13 +79,19 @@ SQL["weekday_baseline"] = "WITH p AS (SELECT source, CAST(received_at AS DATE) A
 
 
 def next_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every signal, the author's next one in another source within an hour (an interval join without pairing)."""
+    """For every signal, the author's next one in another source within an hour (an interval join without pairing).
+
+    Each hour of an author is a group of its own that also holds the next hour's signals to look
+    ahead to, so an author with very many signals is split.
+    """
     s = table(spark, sf_dir, "signals").where("author IS NOT NULL AND source IS NOT NULL AND received_at IS NOT NULL").select("delivery_no", F.lower(F.regexp_replace("author", "^@", "")).alias("author"), "source", F.unix_micros("received_at").alias("us"))
+    hour = F.floor(F.col("us") / 3_600_000_000)
+    s = s.withColumn("hour", hour).withColumn("group", F.explode(F.array(F.col("hour"), F.col("hour") - 1)))
     # from the latest on, so that the start of the next run of one source is the last start seen
-    w = Window.partitionBy("author").orderBy(F.desc("us"), F.desc("delivery_no"))
+    w = Window.partitionBy("author", "group").orderBy(F.desc("us"), F.desc("delivery_no"))
     start = F.when(~F.col("source").eqNullSafe(F.lead("source").over(w)), F.struct("source", "us"))
     n = s.withColumn("start", start).withColumn("next", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    n = n.select("source", F.col("next.source").alias("next_source"), "us", F.col("next.us").alias("next_us"))
+    n = n.where("hour = group").select("source", F.col("next.source").alias("next_source"), "us", F.col("next.us").alias("next_us"))
     return n.where("next_us - us <= 3600000000").groupBy("source", "next_source").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("next_us") - F.col("us")).alias("least_us"))
 
 
