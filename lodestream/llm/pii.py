@@ -100,6 +100,8 @@ _CUE_BEFORE = re.compile(
     r"(?:lists|names|includes|invited?|hired)|(?:new|recent) (?:hire|joiner|starter)|(?:failed|pending|rejected|approved|open) ?:|(?:llamar|avisar|preguntar|escribir|contactar) a|for|next week,|thanks,? to|von|mit|avec|con|par)\"?:?,? ?\"?|"
     r"\b(?:name|contact|owner|author|from|to)\"?\s?[=:] ?\"?|(?:^|\s)\d\)(?=[ ])|\b(?:regards|cheers|best|thanks|sincerely|grüße|saludos|cordialement),|(?:talked to|spoke with|met)\s.{1,60}\sand)\s*$"
 )
+#: What nobody but a person stands behind.
+_CUE_STRONG = re.compile(r"(?i:\bname\s?[=:]\s?|\b(?:regards|cheers|sincerely|grüße|saludos|cordialement),\s|\b(?:signed off|approved|written|reported|escalated) by\s|\b(?:talked to|spoke (?:to|with)|met with|(?:new|recent) (?:hire|joiner|starter)|(?:llamar|avisar|preguntar|escribir) a)\s)$")
 #: What follows a person: a verb of saying or doing, a place, a colon of address.
 _CUE_AFTER = re.compile(r"\s(?:said|says|approved|called|calls|broke|covers|starts|started|lives|wrote|writes|asked|asks|thinks|thought|signed|reported|joined|left|raised|opened|closed|fixed|deployed|reviewed|merged|sent|owns|works|worked|moved|wants|needs|confirmed|agreed)\b|\sat the \w+|\sand\s\S+(?:\s\S+){0,3}\sabout\b|\sat\s\x00|,?\s\(?\x00|: (?:bitte|please|por favor)|\"")
 #: Code names and products are announced, or carry the noun of a thing.
@@ -235,7 +237,19 @@ def find_names(text: str) -> list[tuple[int, int]]:
         return len(words[j][2]) == 1 and words[j][2].isupper() and text[words[j][1] : words[j][1] + 1] == "."
 
     def before(start: int) -> bool:
-        return bool(_CUE_BEFORE.search(text[max(0, start - 80) : start]))
+        """Whether the words before point to a person; so does another person in the same list."""
+        return bool(_CUE_BEFORE.search(text[max(0, start - 80) : start])) or bool(out) and text[out[-1][1] : start] in (" and ", " & ", ", ", " und ", " y ", " et ")
+
+    def strong(start: int) -> bool:
+        return bool(_CUE_STRONG.search(text[max(0, start - 30) : start]))
+
+    def swapped_pair(j: int, upper: bool, start: int) -> bool:
+        """Whether words j and j + 1 are a family name and an unlisted given name: neither is any known word, and the words around point to a person."""
+        w, g = words[j][2], words[j + 1][2]
+        if not surname(j, upper) or len(g) < 3 or is_word(g.lower()) or b" " + w.capitalize().encode() in _ranks():
+            return False
+        after = bool(_CUE_AFTER.match(text, words[j + 1][1]))
+        return strong(start) or like_enough(g.lower(), before(start), after)
 
     while k < n:
         start, end, word = words[k]
@@ -265,13 +279,14 @@ def find_names(text: str) -> list[tuple[int, int]]:
         if len(w) == 1:  # initial and surname
             if gap(j) in (". ", ".") and surname(j + 1, False):
                 stop, last = words[j + 1][1], j + 1
-        elif gap(j) == ", " and surname(j, upper, False) and _given(words[j + 1][2]) and words[j + 1][2][0].isupper() and not (given and gap(j + 1) == " " and surname(j + 2, False)):
+        elif gap(j) == ", " and words[j + 1][2][0].isupper() and (surname(j, upper, False) and _given(words[j + 1][2]) or swapped_pair(j, upper, start)) and not (given and gap(j + 1) == " " and surname(j + 2, False)):
             stop, last = words[j + 1][1], j + 1
             if gap(last) == " " and dotted(last + 1):
                 stop, last = words[last + 1][1] + 1, last + 1
         else:
             i = j + 1 if gap(j) == " " else n
-            after = words[i][1] if i < n else end
+            last_word = i + 1 if i + 1 < n and dotted(i) and gap(i) == ". " else i
+            after = words[last_word][1] if i < n else end
             person = given or titled or surname(j, upper) and (before(start) or bool(_CUE_AFTER.match(text, after)) or b" " + w.encode() in _ranks() and like_a_given_name(low))
             if not person:
                 continue
@@ -282,7 +297,7 @@ def find_names(text: str) -> list[tuple[int, int]]:
                     stop, last = words[i][1] + 1, i
             elif (given or titled) and i + 1 < n and words[i][2] in _PARTICLES and (m := _behind_particles(words, i, text)) and surname(m, False, False):
                 stop, last = words[m][1], m
-            elif i < n and surname(i, upper, not (clear or titled)) and (given or titled or not _NOT_BEFORE.search(text[max(0, start - 20) : start]) and not _NOT_AFTER.match(text, after) and like_enough(low, before(start), bool(_CUE_AFTER.match(text, after)))):
+            elif i < n and surname(i, upper, not (clear or titled)) and (given or titled or not _NOT_BEFORE.search(text[max(0, start - 20) : start]) and not _NOT_AFTER.match(text, after) and (strong(start) and not is_word(low) or like_enough(low, before(start), bool(_CUE_AFTER.match(text, after))))):
                 stop, last = words[i][1], i
             elif titled or clear or given and (before(start) or bool(_CUE_AFTER.match(text, end))) or before(start) and _CUE_AFTER.match(text, end) and surname(j, upper):
                 stop = words[j][1]
@@ -310,7 +325,7 @@ def _behind_particles(words: list[tuple[int, int, str]], i: int, text: str) -> i
 def like_enough(low: str, before: bool, after: bool) -> bool:
     """Whether an unlisted first name is one: by its letters beside a cue, more leniently where no vocabulary knows it, or by two cues."""
     known = b" " + low.capitalize().encode() in _ranks()
-    return before and after or (before or after or known) and like_a_given_name(low, 0.5 if known or not before else 0.1)
+    return before and after or (before or after or known) and like_a_given_name(low, 0.5 if not before else 0.25 if known else 0.1)
 
 
 _DIGIT = re.compile(r"\d")
