@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,51 @@ def fired_categories(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), c) for p, c in kinds]))))
 
 
+def keywords(pattern: str, least: int = 2) -> list[str]:
+    """The runs of letters that a pattern spells out, lower case: what a cheap search can look for first."""
+    bare = re.sub(r"\[.*?\]|\\[a-zA-Z]|\{[^}]*\}", "", pattern)
+    return [m.lower() for m in re.findall(f"[a-zA-Z]{{{least},}}", bare)]
+
+
+class Constraints:
+    """A set of constraints from a configuration: ``kill_patterns`` and ``redact_patterns`` of ``pattern, category[, replacement]``."""
+
+    def __init__(self, config: dict | None = None):
+        config = {} if config is None else config
+        self.kills = tuple((e["pattern"], e["category"]) for e in config.get("kill_patterns", ()))
+        self.redactions = tuple((e["pattern"], e.get("replacement", "[REDACTED]"), e["category"]) for e in config.get("redact_patterns", ()))
+        for pattern, *_ in (*self.kills, *self.redactions):
+            re.compile(pattern)
+
+    def any_keyword(self, text: Column) -> Column:
+        """Whether any word that the patterns spell out occurs; patterns that spell none out always count."""
+        words = [keywords(p) for p, *_ in (*self.kills, *self.redactions)]
+        if not all(words):
+            return F.lit(True)
+        return F.coalesce(F.lower(text).rlike("|".join(re.escape(w) for ws in words for w in ws)), F.lit(False)) if words else F.lit(False)
+
+    def action(self, text: Column) -> Column:
+        hit = lambda patterns: F.coalesce(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False)) if patterns else F.lit(False)
+        return F.when(hit([p for p, _ in self.kills]), "kill").when(hit([p for p, _, _ in self.redactions]), "redact").otherwise("pass")
+
+    def redacted(self, text: Column) -> Column:
+        for pattern, replacement, _ in self.redactions:
+            text = F.regexp_replace(text, "(?i)" + pattern, replacement.replace("$", r"\$"))
+        return text
+
+
+# What a rating of feedback changes.
+RATING_ACTIONS = {"helpful": (("agent_confidence", 0.05),), "wrong": (("agent_confidence", -0.08),), "irrelevant": (("agent_confidence", -0.03),), "already_knew": (("agent_confidence", 0.02), ("surfacing_priority", -0.04))}
+
+
+def rating_actions(rating: Column, enabled: tuple[str, ...] = ("agent_confidence",)) -> Column:
+    """What a rating calls for, as an array of ``dimension, delta, enabled``; null for other ratings."""
+    out = F.lit(None).cast("array<struct<dimension:string,delta:double,enabled:boolean>>")
+    for name, actions in RATING_ACTIONS.items():
+        out = F.when(rating == name, F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(x).alias("delta"), F.lit(d in enabled).alias("enabled")) for d, x in actions])).otherwise(out)
+    return out
+
+
 def asks_redaction(text: Column) -> Column:
     redacts = F.lit(False)
     for pattern, _, _ in REDACT_PATTERNS:

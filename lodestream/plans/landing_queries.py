@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions import text as X, vectors as V
+from lodestream.functions import rules, text as X, vectors as V
 from lodestream.plans.activity_queries import _SQL_CHANNEL, _channel
 from lodestream.plans.graph_queries import _CONTACTS, contacts
 from lodestream.plans.text_queries import _list, _meta, _sql_meta
 from lodestream.scratch import scratch_path
-from lodestream.sources import events as E, stores, work_items as W
+from lodestream.sources import backfill as B, events as E, identity as I, stores, work_items as W
 from lodestream.sources.tables import table
 from lodestream.streaming import flows
 
@@ -245,10 +247,55 @@ def control_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["control_signals"] = "WITH e AS (SELECT source_id, target_id, min(nature_of_control) AS k FROM ownership_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY 1, 2), n AS (SELECT entity_id, min(name) AS name, min(entity_type) AS t FROM entities WHERE entity_id IS NOT NULL GROUP BY 1), s AS (SELECT target_id, trim(concat_ws(' ', name, t, 'controls company', target_id, replace(coalesce(k, ''), '-', ' ')), ' ') AS content FROM e JOIN n ON n.entity_id = e.source_id) SELECT 'ownership' AS source, count(*) AS n, sum(length(content))::BIGINT AS n_chars, count(DISTINCT target_id) AS n_companies FROM s"
 
+def source_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Person records landed as members, ticket users and chat users, read back: records, names and addresses per provider."""
+    p = table(spark, sf_dir, "person_records").where("record_id IS NOT NULL")
+    paths = {k: scratch_path(spark, k) for k in ("members", "tickets", "chat")}
+    p.where("source = 'github-org'").select(F.col("github_handle").alias("login"), "name", "email").write.json(paths["members"])
+    p.where("source = 'linear-users'").select(F.col("linear_uuid").alias("id"), "name", "email", F.col("linear_display_name").alias("displayName")).write.json(paths["tickets"])
+    p.where("source = 'slack-users'").select(F.col("slack_user_id").alias("id"), (F.col("record_id") % 10 == 0).alias("is_bot"), F.struct(F.col("name").alias("real_name"), F.col("slack_handle").alias("display_name"), "email").alias("profile")).write.json(paths["chat"])
+    r = I.organisation_members(spark, paths["members"]).unionByName(I.ticket_users(spark, paths["tickets"])).unionByName(I.chat_users(spark, paths["chat"]))
+    handle = F.concat("github_handle", "slack_handle", "linear_display_name")
+    return r.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(handle != "").alias("n_handles"), F.count_distinct(F.concat("github_handle", "slack_user_id", "linear_uuid")).alias("n_ids"))
+
+
+SQL["source_identities"] = "SELECT source, count(*) AS n, count(*) AS n_handles, count(DISTINCT github_handle) AS n_ids FROM (SELECT DISTINCT source, github_handle FROM person_records WHERE record_id IS NOT NULL AND source = 'github-org' AND github_handle <> '') GROUP BY source UNION ALL SELECT source, count(*), count(*) FILTER (WHERE coalesce(linear_display_name, '') <> ''), count(DISTINCT linear_uuid) FROM person_records WHERE record_id IS NOT NULL AND source = 'linear-users' AND linear_uuid IS NOT NULL GROUP BY source UNION ALL SELECT source, count(*), count(*) FILTER (WHERE coalesce(nullif(slack_handle, ''), name, '') <> ''), count(DISTINCT slack_user_id) FROM person_records WHERE record_id IS NOT NULL AND source = 'slack-users' AND record_id % 10 <> 0 AND slack_user_id IS NOT NULL GROUP BY source"
+
+
+def back_scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals by the windows of a walk back from the start of 2025: a day, then half as long again each, to half a year."""
+    now = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    windows = B.back_scan(now, 86_400.0, 30 * 86_400.0, 180 * 86_400.0)
+    s = table(spark, sf_dir, "signals").where(F.col("received_at") >= F.lit(windows[-1][0]))
+    return s.select(B.window_of(F.col("received_at"), windows).alias("window")).where("window IS NOT NULL").groupBy("window").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["back_scan_windows"] = "WITH RECURSIVE w(k, s, e, step) AS (SELECT 0, 86400.0::DOUBLE, 0.0::DOUBLE, 86400.0::DOUBLE UNION ALL SELECT k + 1, s + least(2592000.0::DOUBLE, step * 1.5::DOUBLE), s, least(2592000.0::DOUBLE, step * 1.5::DOUBLE) FROM w WHERE s + least(2592000.0::DOUBLE, step * 1.5::DOUBLE) <= 15552000) SELECT k AS window, count(*) AS n FROM signals JOIN w ON epoch_us(TIMESTAMPTZ '2025-01-01 00:00:00+00') - epoch_us(received_at) > e * 1000000 AND epoch_us(TIMESTAMPTZ '2025-01-01 00:00:00+00') - epoch_us(received_at) <= s * 1000000 GROUP BY k"
+
+
+def feedback_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading bands as ratings: what they change per dimension, and whether that dimension may change."""
+    names = F.element_at(F.array(*[F.lit(r) for r in rules.RATING_ACTIONS]), F.col("band"))
+    r = table(spark, sf_dir, "reading_labels").where("band BETWEEN 1 AND 4").select(F.explode(rules.rating_actions(names)).alias("a")).select("a.*")
+    return r.groupBy("dimension", "enabled").agg(F.count(F.lit(1)).alias("n"), _R(F.sum("delta"), 4).alias("delta"))
+
+
+SQL["feedback_actions"] = "WITH a AS (SELECT 'agent_confidence' AS dimension, true AS enabled, CASE band WHEN 1 THEN 0.05::DOUBLE WHEN 2 THEN -0.08::DOUBLE WHEN 3 THEN -0.03::DOUBLE ELSE 0.02::DOUBLE END AS d FROM reading_labels WHERE band BETWEEN 1 AND 4 UNION ALL SELECT 'surfacing_priority', false, -0.04::DOUBLE FROM reading_labels WHERE band = 4) SELECT dimension, enabled, count(*) AS n, round(sum(d), 4) AS delta FROM a GROUP BY 1, 2"
+
+
+def configured_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by what a configuration of two constraints asks for, the words it spells out being looked for first."""
+    c = rules.Constraints({"kill_patterns": [{"pattern": r"\btimeout\b", "category": "x"}], "redact_patterns": [{"pattern": r"\bqueue\s+\w+", "category": "y", "replacement": "[Q]"}]})
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").where(c.any_keyword(F.col("text")))
+    return d.groupBy(c.action(F.col("text")).alias("action")).agg(F.count(F.lit(1)).alias("n"), F.count_if(c.redacted(F.col("text")).contains("[Q]")).alias("n_redacted"))
+
+
+SQL["configured_constraints"] = r"WITH d AS (SELECT regexp_matches(text, '\btimeout\b', 'i') AS k, regexp_matches(text, '\bqueue\s+\w+', 'i') AS r, contains(text, '[Q]') AS q FROM documents WHERE text IS NOT NULL AND regexp_matches(lower(text), 'timeout|queue')) SELECT CASE WHEN k THEN 'kill' WHEN r THEN 'redact' ELSE 'pass' END AS action, count(*) AS n, count(*) FILTER (WHERE r OR q) AS n_redacted FROM d GROUP BY 1"
+
 QUERIES = {
     f.__name__: f
     for f in (
         source_issues, source_checks, source_tickets, source_alerts, source_annotations, source_traces, source_transactions, source_roster, source_signal_lines, stream_signal_lines, store_annotations, store_discoveries, store_aliases, store_feedback, store_graph,
-        store_index, store_state, control_signals,
+        store_index, store_state, control_signals, source_identities, back_scan_windows, feedback_actions, configured_constraints,
     )
 }
