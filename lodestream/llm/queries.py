@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestream.llm.grouping import ROLE_LOCALS, person_groups
 from lodestream.llm.leakage import find_leaks, leaked_items
 from lodestream.llm.matching import match_records
 from lodestream.llm.mixing import mix_plan, mix_report, mixed_documents
-from lodestream.llm.names import variant_pairs
+from lodestream.llm.names import variant_classes, variant_pairs
 from lodestream.llm.pii import replace_pii, surrogate_pieces
 from lodestream.llm.reading import reading_levels
+from lodestream.scratch import materialize
 from lodestream.sources.tables import table
 
 
@@ -18,6 +20,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(table(spark, sf_dir, "entities"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes themselves, one row an entity: each by its least id, with its size."""
+    c = materialize(variant_classes(table(spark, sf_dir, "entities")), "classes")
+    least = c.groupBy("class_id").agg(F.min("entity_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    return c.join(least, "class_id").select("entity_id", F.col("least").alias("class_id"), "size")
+
+
 def _pii_key(spark: SparkSession) -> str:
     """The configured key; these queries over synthetic tables fall back to a fixed one, so that their results can be compared from run to run."""
     return spark.conf.get("spark.lodestream.pii.key", None) or "synthetic tables only"
@@ -68,7 +77,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")).select("doc_id", "n_sentences", "difficulty", "band")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_replaced, p5_found, p5_matches, p7_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_replaced, p5_found, p5_matches, p7_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_levels)}
 _DOMAIN = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+"
 _roles = "[" + ", ".join(f"'{r}'" for r in ROLE_LOCALS) + "]"
 SQL: dict[str, str] = {
