@@ -82,6 +82,14 @@ def bloom_members(filters: DataFrame, items: DataFrame, key: str, item: str, slo
     return need.join(met, [key, item]).where("met >= need").select(key, item)
 
 
+def bloom_claims(filters: DataFrame, items: DataFrame, key: str, item: str, slots: int, hashes: int) -> DataFrame:
+    """``key, item``: every filter that may hold each of ``items (item)``, found by the items' slots, so no filter is paired with what it cannot hold."""
+    own = F.array_distinct(bloom_slots(F.col(item), slots, hashes))
+    want = items.where(F.col(item).isNotNull()).select(item).distinct().select(item, own.alias("s")).select(item, F.size("s").alias("need"), F.explode("s").alias("slot"))
+    met = want.join(filters.where("n > 0").select(key, "slot"), "slot").groupBy(key, item, "need").agg(F.count(F.lit(1)).alias("met"))
+    return met.where("met = need").select(key, item)
+
+
 def bloom_overlap(filters: DataFrame, key: str, other: DataFrame) -> DataFrame:
     """``key, overlap`` of every filter with one other ``(slot, n)``: the sum of the lesser over the sum of the greater counters."""
     total = filters.groupBy(key).agg(F.sum("n").alias("own"))

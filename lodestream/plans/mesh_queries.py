@@ -159,8 +159,7 @@ def bloom_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the terms of all sources, how many each source's filter claims: all its own, and a few by chance."""
     terms, filters = _term_filters(spark, sf_dir)
-    every = terms.select("term").distinct().crossJoin(F.broadcast(terms.select("source").distinct().limit(10_000)))
-    held = T.bloom_members(filters, every, "source", "term", _SLOTS, _HASHES)
+    held = T.bloom_claims(filters, terms.select("term"), "source", "term", _SLOTS, _HASHES)
     own = held.join(terms.withColumn("own", F.lit(1)), ["source", "term"], "left").groupBy("source").agg(F.count(F.lit(1)).alias("n_claimed"), F.count("own").alias("n_own"))
     return own.join(terms.groupBy("source").agg(F.count(F.lit(1)).alias("n_terms")), "source")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestream.plans.problems import SQL as DELIVERY_SQL
 from lodestream.sources.tables import table
 from lodestream.streaming import flows as S
 
@@ -39,6 +40,7 @@ def stream_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "stream_first_deliveries": f"SELECT source, n_messages AS n FROM ({DELIVERY_SQL['p3_first_copies']})",
     "stream_daily_counts": "SELECT CAST(received_at AS DATE)::VARCHAR AS day, source, count(*) AS n FROM signals WHERE received_at IS NOT NULL GROUP BY 1, 2",
     "stream_ema": "WITH l AS (SELECT concat_ws('/', repo, metric) AS series, list(value::DOUBLE ORDER BY received_at, value) AS x FROM budget_entries WHERE value IS NOT NULL GROUP BY 1) SELECT series, len(x) AS n, round(list_reduce(x, lambda a, v: 0.3::DOUBLE * v + 0.7::DOUBLE * a), 6) AS ema FROM l",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import text as X, vectors as V
 from lodestream.operators.similarity import near_duplicate_classes, nearest_exact, nearest_in_cells, shingle_classes
+from lodestream.plans.text_queries import sql_terms
 from lodestream.sources.tables import table
 
 _R = lambda c, n=6: F.round(c, n)
@@ -171,4 +172,10 @@ def term_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", _R(F.element_at("v", 1)).alias("first"), _R(V.norm(F.col("v")), 5).alias("length"))
 
 
+_fnv = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), 2 * i + 1, 2))::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+SQL["term_embeddings"] = f"""WITH w AS (SELECT doc_id, unnest({sql_terms('text')}) AS t FROM documents WHERE text IS NOT NULL), h AS (SELECT t, {_fnv} AS h FROM (SELECT DISTINCT t FROM w)),
+e AS (SELECT doc_id, h % 64 AS place, sum(CASE WHEN h >= 9223372036854775808::HUGEINT THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) AS x FROM w JOIN h USING (t) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n, coalesce(max(x) FILTER (WHERE place = 0), 0.0::DOUBLE) AS f FROM e GROUP BY 1)
+SELECT doc_id, round(CASE WHEN coalesce(n, 0) > 0 THEN f / n ELSE 0.0::DOUBLE END, 6) AS first, CASE WHEN coalesce(n, 0) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN n USING (doc_id)"""
+
+
 QUERIES = {f.__name__: f for f in (cosine_topk, hashed_neighbours, label_centroids, activation_matrix, resonance_decisions, softmax_activations, hidden_couplings, complement_codes, unit_vectors, fnv1a_hash, simhash_classes, jaccard_classes, term_embeddings)}

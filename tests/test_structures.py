@@ -51,6 +51,8 @@ def test_filters_count_remove_and_claim(spark):
     asked = spark.createDataFrame([("a", t) for t in [*ITEMS, "never there"]], "k string, t string")
     held = {r["t"] for r in T.bloom_members(f, asked, "k", "t", slots, hashes).collect()}
     assert set(ITEMS) <= held
+    claims = {(r["k"], r["t"]) for r in T.bloom_claims(f, asked.select("t"), "k", "t", slots, hashes).collect()}
+    assert {t for k, t in claims if k == "a"} == held and ("b", "deploy") in claims
     less = T.bloom_removed(f, spark.createDataFrame([("a", "abcd"), ("a", "never there")], "k string, t string"), "k", "t", slots, hashes)
     after = {(r["k"], r["slot"]): r["n"] for r in less.where("k = 'a'").collect()}
     gone = Counter(("a", (_fnv(b"abcd") + i * _mix(b"abcd")) % slots) for i in range(hashes))
