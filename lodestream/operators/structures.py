@@ -135,6 +135,36 @@ def farthest_first(rows: DataFrame, id_col: str, terms_col: str, count: int) ->
     return rows.select(F.lit(0).alias("all"), id_col, terms_col).groupBy("all").applyInPandas(choose, f"place int, id {kind}")
 
 
+def leader_clusters(rows: DataFrame, id_col: str, terms_col: str, least: float = 0.4) -> DataFrame:
+    """``leader, id, similarity``: every row joins the first earlier leader (by id) that shares ``least`` of the terms, or leads itself.
+
+    The order decides, so one task looks at all rows: more than ``MAX_CANDIDATES`` are an error.
+    Rows without terms take no part.
+    """
+    kind = dict(rows.dtypes)[id_col]
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > MAX_CANDIDATES:
+            raise ValueError(f"leaders are chosen among at most {MAX_CANDIDATES} rows")
+        leaders: list[tuple[object, frozenset]] = []
+        by_term: dict[str, set[int]] = {}
+        out = []
+        for i, terms in frame.sort_values(id_col)[[id_col, terms_col]].itertuples(index=False):
+            own = frozenset(terms)
+            met = sorted({k for t in own for k in by_term.get(t, ())})
+            found = next(((k, s) for k in met if (s := len(own & leaders[k][1]) / len(own | leaders[k][1])) >= least), None)
+            if found is None:
+                for t in own:
+                    by_term.setdefault(t, set()).add(len(leaders))
+                leaders.append((i, own))
+                out.append((i, i, 1.0))
+            else:
+                out.append((leaders[found[0]][0], i, found[1]))
+        return pd.DataFrame(out, columns=["leader", "id", "similarity"])
+
+    return rows.where(F.size(terms_col) > 0).select(F.lit(0).alias("all"), id_col, terms_col).groupBy("all").applyInPandas(choose, f"leader {kind}, id {kind}, similarity double")
+
+
 def select_peers(positions: DataFrame, id_col: str, vec_col: str, target: int = 6) -> DataFrame:
     """``id, place, peer``: for every worker its two nearest, its two farthest, then those farthest from all chosen (1 - cosine), up to ``target``."""
     kind = dict(positions.dtypes)[id_col]

@@ -59,6 +59,7 @@ CONTENT = {
     "stream_controllers": lambda rows: assert_(all(-1 <= r["output"] <= 1 and -10 <= r["integral"] <= 10 for r in rows)),
     "stream_stability": lambda rows: assert_({r["status"] for r in rows} <= {-1.0, 0.0, 1.0}),
     "sketches": lambda rows: assert_(all(r["n_authors"] > 0 and 0 <= r["median_second"] < 60 for r in rows)),
+    "framing_clusters": lambda rows: assert_(all(r["n"] >= 2 and 0.4 <= r["similarity"] <= 1 and (r["severity"] == "critical") == (r["similarity"] > 0.6 and r["action"] < 0.2) for r in rows)),
     "bloom_overlaps": _bloom,
     "bloom_membership": lambda rows: assert_(all(r["n_own"] == r["n_terms"] <= r["n_claimed"] for r in rows)),
 }

@@ -108,3 +108,10 @@ def test_message_outcomes(spark):
     log = [("t", 1, 1, True), ("t", 2, 1, False), ("t", 2, 2, True), ("t", 2, 3, False), *[("t", 3, k, False) for k in range(5)], ("t", 3, 9, True), ("t", 4, 1, False)]
     got = {r["message"]: (r["n_attempts"], r["outcome"]) for r in T.message_outcomes(spark.createDataFrame(log, "topic string, message long, at long, ok boolean")).collect()}
     assert got == {1: (1, "acknowledged"), 2: (2, "acknowledged"), 3: (3, "dead"), 4: (1, "pending")}
+
+
+def test_leaders_take_what_is_like_them(spark):
+    rows = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x", "y", "z"]), ("c", ["z", "w"]), ("d", []), ("e", ["z"]), ("f", ["x", "y", "z", "w"])], "id string, terms array<string>")
+    got = {r["id"]: (r["leader"], round(r["similarity"], 3)) for r in T.leader_clusters(rows, "id", "terms").collect()}
+    assert got == {"a": ("a", 1.0), "b": ("a", 0.667), "c": ("c", 1.0), "e": ("c", 0.5), "f": ("a", 0.5)}
+    assert T.leader_clusters(rows.where("false"), "id", "terms").count() == 0
