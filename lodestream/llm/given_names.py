@@ -30,7 +30,7 @@ FEMALE_WORLD = (
 MALE_EUROPE = (
     "aaron adam adrian adriano alan albert alberto alec alejandro aleksander alessandro alex alexander alexandre alexei alfonso alfred alfredo alistair allan alonso alvaro ambrose anders andre andreas andrei andres andrew andy angelo angus anthony antoine anton antonio archie armando arne arnold arthur arturo august aurelio "
     "axel barnaby barry bartholomew bart basil bastian ben benedict benedikt benjamin benny benoit bernard bernd bertrand bill billie billy bjorn bob bobby bogdan boris brad bradley bram brandon brendan brent brett brian bruce bruno byron caleb callum calvin cameron carl carlo carlos casper cedric cesar charles charlie chas chris "
-    "christian christoph christophe christopher chuck clarence claude clement clemens clifford clive colin conor conrad constantin corey craig curtis cyril dale damian damien dan daniel danilo danny dario darius darren dave david dean dennis derek desmond detlef dick didier diego dieter dimitri dirk dmitri dmitry dominic dominik donald douglas "
+    "christian christoph christophe christopher chuck clarence clement clemens clifford clive colin conor conrad constantin corey craig curtis cyril dale damian damien dan daniel danilo danny dario darius darren dave david dean dennis derek desmond detlef dick didier diego dieter dimitri dirk dmitri dmitry dominic dominik donald douglas "
     "duncan dustin dylan eamon ed eddie edgar edmund eduardo edward edwin egon elias elliot emanuel emil emile emilio emmanuel enrico enrique enzo eric erik ernest ernesto erwin esteban etienne eugen eugene evan fabian fabio fabrice federico felipe felix ferdinand fernando filip finn florian francesco francis francisco francois"
 ).split()
 MALE_EUROPE_2 = (
