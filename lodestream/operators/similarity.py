@@ -145,7 +145,8 @@ def near_duplicate_classes(prints: DataFrame, id_col: str, print_col: str, dista
     keys = F.array(*[F.xxhash64(F.lit(str(c)), *[piece[k] for k in c]) for c in combinations(range(pieces), pieces - distance)])
     index = distinct.select("fp", "rep", F.explode(keys).alias("key"))
     one, two = index.select("key", F.col("fp").alias("f1"), F.col("rep").alias("a")), index.select("key", F.col("fp").alias("f2"), F.col("rep").alias("b"))
-    links = materialize(one.join(two, "key").where("a < b").where(hamming(F.col("f1"), F.col("f2")) <= distance).select("a", "b").distinct(), "links")
+    # Spark takes the index for as small as the prints: without the hint it would gather all keys on the driver to broadcast them
+    links = materialize(one.join(two.hint("merge"), "key").where("a < b").where(hamming(F.col("f1"), F.col("f2")) <= distance).select("a", "b").distinct(), "links")
     roots = components(links, "a", "b").select(F.col("v").alias("rep"), "root")
     count = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     classes = distinct.join(roots, "rep", "left").join(count, "rep", "left").where("n > 1 OR root IS NOT NULL")

@@ -100,6 +100,30 @@ def test_changed_documents_are_classed_by_their_five_grams(spark, tmp_path):
     assert sum(1 for k, h in links.items() if h and k not in simhash) > 0
 
 
+def _join_of_links(spark, monkeypatch, query, tmp_path):
+    """The plan by which a query joins its index of fingerprints with itself, and its rows."""
+    plans, real = [], S.materialize
+
+    def spy(df, name="t", *rest):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, *rest)
+
+    monkeypatch.setattr(S, "materialize", spy)
+    texts = ["alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight"]
+    spark.createDataFrame([(k, texts[k % 2] if k < 4 else f"a text of its own {k}") for k in range(8)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = query(spark, str(tmp_path)).collect()
+    return plans[0], rows
+
+
+def test_simhash_index_is_not_broadcast(spark, tmp_path, monkeypatch):
+    from lodestream.plans import vector_queries as Q
+
+    plan, rows = _join_of_links(spark, monkeypatch, Q.simhash_classes, tmp_path)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r["id"], r["class_id"]) for r in rows} >= {(0, 0), (2, 0), (1, 1), (3, 1)}
+
+
 def test_hashed_search_recall(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
     q = rows.where("vec_id % 100 = 0")
