@@ -122,13 +122,20 @@ def source_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["source_transactions"] = "WITH v AS (SELECT vec_id, label % 3 + 1 AS class FROM embeddings WHERE label IS NOT NULL), e AS (SELECT vec_id AS a, vec_id + 1 AS b FROM v UNION ALL SELECT vec_id, vec_id * 2 FROM v), k AS (SELECT * FROM e WHERE b IN (SELECT vec_id FROM v)), o AS (SELECT a, count(*) AS o FROM k GROUP BY 1), i AS (SELECT b, count(*) AS i FROM k GROUP BY 1) SELECT class, count(*) AS n, sum(coalesce(o, 0))::BIGINT AS out_degree, sum(coalesce(i, 0))::BIGINT AS in_degree FROM v LEFT JOIN o ON o.a = vec_id LEFT JOIN i ON i.b = vec_id GROUP BY class"
 
 
+#: Sections that a team's rows are landed in.
+ROSTER_SECTIONS = 64
+
+
 def source_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket users landed as a Markdown roster with a section a team, read back."""
     path = scratch_path(spark, "roster")
     p = table(spark, sf_dir, "person_records").where("linear_uuid <> '' AND source = 'linear-users'").select(F.coalesce(F.nullif("team", F.lit("")), F.lit("none")).alias("team"), F.regexp_replace(F.coalesce("name", F.lit("")), r"[|\n\r]", " ").alias("name"), "linear_uuid")
-    head = F.concat(F.lit("## "), "team", F.lit("\n\n| name | id |\n|---|---|\n"))
-    body = p.groupBy("team").agg(F.array_join(F.collect_list(F.concat(F.lit("| "), "name", F.lit(" | `"), "linear_uuid", F.lit("` |"))), "\n").alias("rows"))
-    body.select(F.concat(head, "rows", F.lit("\n")).alias("value")).write.text(path)
+    # a line a row: a team's rows go to so many sections of their own, none of which is ever held as one text
+    p = p.withColumn("nth", F.pmod(F.xxhash64("linear_uuid"), F.lit(ROSTER_SECTIONS)))
+    head = F.concat(F.lit("## "), "team", F.lit("\n\n| name | id |\n|---|---|"))
+    heads = p.select("team", "nth").distinct().select("team", "nth", F.lit(0).alias("place"), head.alias("value"))
+    body = p.select("team", "nth", F.lit(1).alias("place"), F.concat(F.lit("| "), "name", F.lit(" | `"), "linear_uuid", F.lit("` |")).alias("value"))
+    heads.unionByName(body).repartition("team", "nth").sortWithinPartitions("team", "nth", "place").select("value").write.text(path)
     return W.roster_markdown(spark, path).groupBy(F.col("section").alias("team")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("uuid").alias("n_ids"))
 
 

@@ -6,7 +6,7 @@ Calls to the services themselves (paging, back-off, tokens) are not part of this
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.sources.events import no_bots
@@ -107,13 +107,26 @@ def transactions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def roster_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """``section, name, uuid`` of the table rows of Markdown rosters; a row belongs to the last heading above it."""
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^#+\s+")).alias("part"))
-    section = F.trim(F.split_part("part", F.lit("\n"), F.lit(1)))
-    rows = lines.select(section.alias("section"), F.explode(F.regexp_extract_all("part", F.lit(r"(?m)^\|(.+)\|\s*$"), F.lit(1))).alias("row"))
-    cells = F.transform(F.split("row", r"\|"), lambda c: F.trim(c))
-    uuid = F.element_at(F.filter(cells, lambda c: c.rlike("^`?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}`?$")), 1)
-    return rows.where(F.exists(cells, lambda c: c.rlike("^`?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}`?$"))).select("section", cells[0].alias("name"), F.regexp_replace(uuid, "`", "").alias("uuid"))
+    """``section, name, uuid`` of the table rows of Markdown rosters; a row belongs to the last heading above it.
+
+    Files are read line by line, a large one in several splits: what stands above the first heading
+    of a split belongs to the last heading of the splits before it.
+    """
+    at = {"file": F.col("_metadata.file_path"), "split": F.col("_metadata.file_block_start")}
+    lines = spark.read.text(path).select("value", *[c.alias(n) for n, c in at.items()]).withColumn("line", F.monotonically_increasing_id())
+    title = F.trim(F.regexp_extract("value", r"^#+\s+(.*)", 1))
+    kept = lines.where(F.col("value").rlike(r"^#+\s|^\|")).select("file", "split", "line", "value", F.when(F.col("value").startswith("#"), title).alias("title"))
+    above = Window.partitionBy("file", "split").orderBy("line")
+    rows = kept.withColumn("own", F.last("title", ignorenulls=True).over(above)).where("title IS NULL")
+    # one row a split with a heading
+    last = kept.where("title IS NOT NULL").groupBy("file", "split").agg(F.max_by("title", "line").alias("last"))
+    before = last.select("file", F.col("split").alias("from"), F.lead("split").over(Window.partitionBy("file").orderBy("split")).alias("to"), "last")
+    owned = rows.where("own IS NOT NULL").select("own", "value")
+    open_ = rows.where("own IS NULL").alias("r").join(before.alias("b"), F.expr("r.file = b.file AND r.split > b.from AND (b.to IS NULL OR r.split <= b.to)"), "left").select(F.coalesce("last", F.lit("")).alias("own"), "value")
+    cells = F.transform(F.split(F.regexp_extract("value", r"(?s)^\|(.+)\|\s*$", 1), r"\|"), lambda c: F.trim(c))
+    found = owned.unionByName(open_).select(F.col("own").alias("section"), cells.alias("cells"))
+    is_id = lambda c: c.rlike("^`?[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}`?$")
+    return found.where(F.exists("cells", is_id)).select("section", F.col("cells")[0].alias("name"), F.regexp_replace(F.element_at(F.filter("cells", is_id), 1), "`", "").alias("uuid"))
 
 
 def control_signals(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -25,6 +25,27 @@ def test_roster(spark, tmp_path):
     assert got["Alice Smith"]["email"] == "alice@x.example" and got["Alice Smith"]["aliases"] == ["1+alice-gh@users.noreply.codehub.example"] and got["Bob"]["aliases"] == []
 
 
+def test_roster_of_many_lines_is_read_by_lines(spark, tmp_path):
+    from lodestream.sources import work_items as W
+
+    uuid = lambda k: f"{k:08x}-0000-4000-8000-000000000000"
+    lines = ["| above | `" + uuid(0) + "` |", "# one", "", "| name | id |", "|---|---|"] + [f"| n {k} | `{uuid(k)}` |" for k in range(1, 30_001)] + ["##  two  words ", f"| x | {uuid(30_001)} |", "#none", "| no | id |"]
+    (tmp_path / "a.md").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.md").write_text(f"# empty\n## three\r\n| y | `{uuid(7)}` |")
+    conf = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "0"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = W.roster_markdown(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 1
+        rows = sorted(map(tuple, got.collect()))
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    want = [("", "above", uuid(0)), *(("one", f"n {k}", uuid(k)) for k in range(1, 30_001)), ("two  words", "x", uuid(30_001)), ("three", "y", uuid(7))]
+    assert rows == sorted(want)
+
+
 def test_pull_requests_and_chat(spark, tmp_path):
     pr = {"number": 1, "title": "T", "body": "B", "state": "OPEN", "author": {"login": "a"}, "updatedAt": "2024-01-01T00:00:00Z", "additions": 3, "deletions": 1, "files": [{"path": "x"}], "comments": [{"id": "c", "author": {"login": "renovate[bot]"}, "body": "hi"}, {"id": "d", "author": {"login": "b"}, "body": "ok"}], "reviews": [{"id": "r", "author": {"login": "c"}, "body": None, "state": "APPROVED"}]}
     (tmp_path / "p.json").write_text(json.dumps(pr) + "\n" + json.dumps(pr) + "\n")
