@@ -6,6 +6,8 @@ vertex of higher degree, so that a vertex with very many edges never pairs them
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,15 +137,101 @@ def hop_distances(ties: DataFrame, sources: DataFrame, max_hops: int | None = No
     return rings[0].sparkSession.read.schema(rings[0].schema).parquet(*[r._scratch_path for r in rings])
 
 
+#: Ties that a task holds at once to count paths in; a larger graph is joined ring by ring.
+HELD_TIES = 10_000_000
+#: Sources that go to a task together, tasks at least, numbers that a table of paths holds, and ties gathered at once.
+SOURCE_BLOCK, LEAST_BLOCKS, PATH_CELLS, TIE_CHUNK = 512, 24, 4_000_000, 1 << 18
+
+
 def betweenness(ties: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``v, score``: how many shortest paths between two others run through every vertex (each undirected pair once).
 
-    Paths are counted breadth first from all ``sources`` (all vertices by default, which is exact;
-    a sample gives an estimate for its sources) at once, then shares flow back ring by ring.  The
-    state is one row a source and reached vertex, so exact scores are for graphs of some 100,000 vertices at most.
+    ``ties`` hold every tie both ways.  Paths are counted breadth first from all ``sources`` (all
+    vertices by default, which is exact; a sample gives an estimate for its sources), then shares
+    flow back ring by ring.  Up to ``HELD_TIES`` ties, blocks of sources go to tasks that hold the
+    graph, so that only sums per vertex and block are shuffled.
     """
     ties = materialize(ties.select("v", "nb").where("v <> nb").distinct(), "ties")
-    start = (ties.select("v").distinct() if sources is None else sources.select("v").distinct()).select(F.col("v").alias("source"), "v", F.lit(1.0).alias("paths"))
+    asked = ties.select("v").distinct() if sources is None else sources.select("v").where("v IS NOT NULL").distinct()
+    if ties.count() > HELD_TIES:
+        return _betweenness_by_joins(ties, asked)
+    every = materialize(ties.select("v").unionByName(asked).distinct().withColumn("id", F.monotonically_increasing_id()), "vertices")
+    hot = hot_keys(ties, "v")
+    numbered = join_unique(ties, every.select("v", F.col("id").alias("a")), "v", hot).select("a", F.col("nb").alias("v"))
+    lists = materialize(join_unique(numbered, every, "v", hot).groupBy("a").agg(F.collect_list("id").alias("b")), "lists")
+    starts = materialize(asked.join(every, "v").select("id"), "starts")
+    blocks = max(LEAST_BLOCKS, -(-starts.count() // SOURCE_BLOCK))
+    graphs = lists.crossJoin(F.broadcast(ties.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block")))).repartition(blocks, "block")
+    starts = starts.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+    sums = graphs.groupBy("block").cogroup(starts.groupBy("block")).applyInPandas(_block_shares, "id long, share double")
+    return sums.groupBy("id").agg((F.sum("share") / 2).alias("score")).join(every, "id").select("v", "score")
+
+
+def _block_shares(graph: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    """``id, share`` of the vertices that a block of sources reaches: their parts of the shortest paths, ends left out (Brandes)."""
+    ids = np.unique(np.concatenate([graph["a"].to_numpy(dtype=np.int64), starts["id"].to_numpy(dtype=np.int64)]))
+    size = np.zeros(len(ids), dtype=np.int64)
+    place = np.searchsorted(ids, graph["a"].to_numpy(dtype=np.int64))
+    order = np.argsort(place)
+    size[place] = [len(b) for b in graph["b"]]
+    to = np.searchsorted(ids, np.concatenate([np.zeros(0, dtype=np.int64), *(graph["b"].iloc[k] for k in order)])).astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+
+    def around(rows: np.ndarray) -> np.ndarray:
+        """Where the ties of ``rows`` lie, row after row."""
+        n = size[rows]
+        return np.repeat(first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def gather(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For each of ``rows`` (all have ties) the sum of its neighbours' rows of ``table``."""
+        out, ends = np.empty((len(rows), table.shape[1])), np.cumsum(size[rows])
+        at = 0
+        while at < len(rows):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TIE_CHUNK, "right")))
+            part = rows[at:upto]
+            out[at:upto] = np.add.reduceat(table[to[around(part)]], np.cumsum(size[part]) - size[part], axis=0)
+            at = upto
+        return out
+
+    total, reached = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
+    sources = np.searchsorted(ids, starts["id"].to_numpy(dtype=np.int64))
+    width = int(min(16, max(1, PATH_CELLS // max(1, len(ids)))))
+    for own in (sources[k : k + width] for k in range(0, len(sources), width)):
+        shape = (len(ids), len(own))
+        ring, paths, now, share = np.full(shape, -1, dtype=np.int32), np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        ring[own, np.arange(len(own))] = 0
+        paths[own, np.arange(len(own))] = now[own, np.arange(len(own))] = 1
+        fronts = [np.unique(own)]
+        while True:
+            near = np.unique(to[around(fronts[-1])])
+            near = near[(ring[near] < 0).any(axis=1)]
+            count = gather(now, near)
+            count[ring[near] >= 0] = 0
+            now[fronts[-1]] = 0
+            some = (count > 0).any(axis=1)
+            near, count = near[some], count[some]
+            if not len(near):
+                break
+            now[near] = count
+            paths[near] += count
+            ring[near] = np.where(count > 0, len(fronts), ring[near])
+            fronts.append(near)
+        for k in range(len(fronts) - 1, 0, -1):
+            far, back = fronts[k], fronts[k - 1]
+            now[far] = np.where(ring[far] == k, (1 + share[far]) / np.where(ring[far] == k, paths[far], 1), 0)
+            flow = gather(now, back[size[back] > 0])
+            back = back[size[back] > 0]
+            share[back] += np.where(ring[back] == k - 1, flow * paths[back], 0)
+            now[far] = 0
+        share[own, np.arange(len(own))] = 0
+        total += share.sum(axis=1)
+        reached |= (ring >= 0).any(axis=1)
+    return pd.DataFrame({"id": ids[reached], "share": total[reached]})
+
+
+def _betweenness_by_joins(ties: DataFrame, asked: DataFrame) -> DataFrame:
+    """``betweenness`` of a graph that no task can hold: the state is one row a source and reached vertex."""
+    start = asked.select(F.col("v").alias("source"), "v", F.lit(1.0).alias("paths"))
     rings = [materialize(start, "ring")]
     while True:
         near = rings[-1] if len(rings) == 1 else rings[-1].unionByName(rings[-2])

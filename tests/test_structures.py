@@ -95,6 +95,20 @@ def test_betweenness_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
 
 
+def test_betweenness_of_a_long_path_and_by_joins(spark):
+    n = 800  # one job a ring would take many minutes
+    path = spark.createDataFrame([(f"v{a}", f"v{b}") for k in range(n - 1) for a, b in ((k, k + 1), (k + 1, k))], "v string, nb string")
+    assert {r["v"]: round(r["score"], 6) for r in G.betweenness(path).collect()} == {f"v{k}": k * (n - 1 - k) for k in range(n)}
+    rnd = random.Random(5)
+    edges = {tuple(sorted(rnd.sample(range(40), 2))) for _ in range(90)}
+    ties = spark.createDataFrame([*edges, *[(b, a) for a, b in edges]], "v long, nb long")
+    some = spark.createDataFrame([(0,), (3,), (3,), (99,)], "v long")
+    for asked in (ties.select("v").distinct(), some.distinct()):
+        rows, joined = ({r["v"]: round(r["score"], 6) for r in f.collect()} for f in (G.betweenness(ties, asked), G._betweenness_by_joins(ties, asked)))
+        assert rows == joined and rows
+    assert G.betweenness(ties.where("false")).collect() == []
+
+
 def test_greedy_selections(spark):
     rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b", "c"]), (3, ["x", "y"]), (4, ["x", "z"]), (5, [])], "id long, terms array<string>")
     assert [r["id"] for r in T.farthest_first(rows, "id", "terms", 3).orderBy("place").collect()] == [1, 3, 5]
