@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,6 +40,13 @@ for _formal, _nicks in NICKNAMES.items():
     for _n in _nicks.split():
         FORMAL[_n] = FORMAL.get(_n, frozenset()) | {_formal}
 
+#: One of the names that are linked by nicknames, directly or by way of others: equal for any two of them.
+KIN: dict[str, str] = {}
+for _formal, _nicks in NICKNAMES.items():
+    _all = {_formal, *_nicks.split()}
+    _all |= {t for t, k in KIN.items() if k in {KIN.get(n) for n in _all}}
+    KIN |= dict.fromkeys(_all, min(_all))
+
 _TITLES = frozenset("mr mrs ms miss mx dr prof sir dame lord lady rev hon".split())
 _SUFFIX = re.compile(
     r"\b(?:gesellschaft mit beschrankter haftung|public limited company|limited liability partnership|limited liability company|societe a responsabilite limitee|societe anonyme|sociedad anonima|"
@@ -220,13 +228,59 @@ def address_verdict(a: str, b: str) -> int:
     return 0
 
 
+def _shorter(t: str) -> set[str]:
+    """A token and, from four letters on, what is left of it without any one letter."""
+    return {t} | {t[:k] + t[k + 1 :] for k in range(len(t))} if len(t) >= 4 else {t}
+
+
+@lru_cache(maxsize=200_000)
+def _number(t: str) -> int:
+    return int.from_bytes(blake2b(KIN.get(t, t).encode(), digest_size=8).digest(), "big")
+
+
+def common_keys(tokens: tuple[str, ...], address: str, day: str, common: frozenset, near_common: frozenset) -> set[str]:
+    """Entries by which names meet that share common tokens only: one token as it may be spelled, with all others or a place or date.
+
+    Without a common place or date a pair passes with one slip and one initial at most.  Its other
+    tokens are equal or nicknames, whose sum (of a number per family of nicknames) is the same
+    whatever their order.
+    """
+    total, out = sum(map(_number, tokens)), set()
+    rare = {t for t in tokens if t not in common and t not in KIN and len(t) >= 4 and not _NUMERAL.match(t)}
+    lettered = Counter(t for t in tokens if not _NUMERAL.match(t))
+    n_lettered = lettered.total()
+    number, _, post = address_parts(address)
+    places = {f"n{number}" if number else "", f"p{post}" if post else "", f"d{day}" if day else ""} - {""}
+    entry = lambda kind, rest, x="": f"{kind}{rest % 2**64:x} {x}"
+    out.add(entry("=", total))
+    if not day and not rare:
+        out.add(entry("+", total))
+    for t in set(tokens):
+        # what holds another rare token is met by that token and the initial of a third, or of this one
+        rest, others = total - _number(t), rare - {t} if lettered[t] == 1 else rare
+        if not day and not others and len(tokens) > 2:
+            out.add(entry("+", rest))
+        if t not in lettered:
+            continue
+        forms = _shorter(t).union(*(_shorter(f) for f in FORMAL.get(t, ()) if len(f) > 4))
+        if t in common or forms & near_common:
+            out |= {f"@{c} {v}" for v in forms for c in places}
+        if not others:
+            out |= {entry("~", rest, v) for v in forms}
+            out |= {entry("i", rest, i) for i in {t[0]} | {f[0] for f in FORMAL.get(t, ())}}
+            out |= {entry("^", rest, t[:k]) for k in (*range(3, len(t) - 1), len(t)) if k >= 3}
+        elif n_lettered < 3:
+            out |= {entry("~", rest, v) for v in forms if v == t or v in (t[1:], t[0] + t[2:]) or t in FORMAL}
+    return out
+
+
 def index_keys(tokens: tuple[str, ...], address: str, day: str, common: frozenset, near_common: frozenset) -> set[str]:
     """The entries of one name in the symmetric-delete index."""
-    shorter = lambda t: {t} | {t[:k] + t[k + 1 :] for k in range(len(t))} if len(t) >= 4 else {t}
-    out: set[str] = set()
+    shorter = _shorter
+    out = common_keys(tokens, address, day, common, near_common)
     own = [t for t in tokens if t not in common and len(t) >= 4 and not _NUMERAL.match(t)]
     initials = {t: {t[0]} | {f[0] for f in FORMAL.get(t, ())} for t in set(tokens) if not _NUMERAL.match(t)}
-    total = Counter(i for s in initials.values() for i in s)
+    total = Counter(i for t in tokens if t in initials for i in initials[t])
     for t in set(own):
         others = {i for i, n in total.items() if n > (i in initials[t])} or {""}
         out |= {f"{v}|{i}" for v in shorter(t) for i in others}
@@ -285,7 +339,7 @@ def variant_classes(entities: DataFrame) -> DataFrame:
     total = classes.count()
     words = classes.select(F.explode(F.array_distinct(F.split("tokens", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     common = frozenset(r[0] for r in words.where(F.col("n") >= max(COMMON_LEAST, int(total * COMMON_SHARE))).orderBy(F.desc("n"), "w").limit(MAX_COMMON).select("w").collect())
-    near = frozenset(v for t in common if len(t) >= 5 for v in ({t} | {t[:k] + t[k + 1 :] for k in range(len(t))}))
+    near = frozenset(v for t in common if len(t) >= 4 for v in _shorter(t))
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -80,3 +80,41 @@ def test_variants_and_neighbours(spark):
     ]
     assert pairs(spark, rows) == [("1", "2"), ("1", "3"), ("2", "3"), ("6", "8")]
     assert pairs(spark, []) == []
+
+
+def test_names_of_common_words_meet_without_place_or_date(spark, monkeypatch):
+    from lodestream.llm import names as N
+
+    monkeypatch.setattr(N, "COMMON_LEAST", 3)
+    rows = [(f"{g}{s}{k}", f"{g} {s}", "person", j, None, "") for k, j in enumerate(("GB", "DE", "FR", "IT")) for g in ("Tobias", "Marcel", "Konrad") for s in ("Winter", "Sommer", "Herbst")]
+    rows += [("a", "Tobais Winter", "person", "GB", None, ""), ("b", "T Sommer", "person", "DE", None, ""), ("c", "Winetr Marcel", "person", "FR", None, ""), ("d", "Konrad Emil Herbst", "person", "IT", None, ""), ("e", "Nikolas Winter", "person", "US", None, ""), ("f", "Nikolas Wintr", "person", "US", None, "")]
+    got = set(pairs(spark, rows))
+    assert {("TobiasWinter0", "a"), ("TobiasSommer1", "b"), ("MarcelWinter2", "c"), ("KonradHerbst3", "d"), ("e", "f")} <= got
+    assert len(got) == 5
+
+
+def test_pairs_that_pass_meet_in_the_index_however_common_their_words():
+    import random
+
+    from lodestream.llm.names import KIN, NICKNAMES, index_keys
+
+    assert all(KIN[f] == KIN[n] for f, ns in NICKNAMES.items() for n in ns.split())
+    rnd = random.Random(4)
+    words = ["robert", "william", "smith", "winter", "holdings", "trading", "ann", "marceline"]
+    common = frozenset(words)
+    near = frozenset(v for t in common if len(t) >= 4 for v in ({t} | {t[:k] + t[k + 1 :] for k in range(len(t))}))
+    for _ in range(2000):
+        a = [rnd.choice(words + ["quorzel"]) for _ in range(rnd.randrange(1, 4))]
+        b, k, kind = list(a), rnd.randrange(len(a)), rnd.randrange(4)
+        if kind == 0 and len(b[k]) > 4:
+            at = rnd.randrange(len(b[k]))
+            b[k] = b[k][:at] + rnd.choice(["", "z", b[k][at] + "z"]) + b[k][at + 1 :]
+        elif kind == 1 and len(a) > 1:
+            b[k] = b[k][0]
+        elif kind == 2:
+            b = [{"robert": "bob", "william": "billy"}.get(w, w) for w in b]
+        elif len(b[k]) >= 5:
+            b[k] = b[k][: rnd.randrange(3, len(b[k]) - 1)]
+        rnd.shuffle(b)
+        if align(tuple(a), tuple(b)) is not None:
+            assert index_keys(tuple(a), "", "", common, near) & index_keys(tuple(b), "", "", common, near), (a, b)
