@@ -130,12 +130,13 @@ def nearest_in_cells(queries: DataFrame, rows: DataFrame, id_col: str, vec_col:
 
 
 def near_duplicate_classes(prints: DataFrame, id_col: str, print_col: str, distance: int = 3, pieces: int = 6) -> DataFrame:
-    """``(id, class_id, n_links)`` of every row whose 64-bit fingerprint lies within ``distance`` bits of another's.
+    """``(id, class_id, n_links, earlier)`` of every row whose 64-bit fingerprint lies within ``distance`` bits of another's.
 
     Equal fingerprints form one class without being paired.  Different ones are found exactly: cut
     into ``pieces``, two fingerprints within ``distance`` bits agree in ``pieces - distance`` of
     them, and every choice of that many is an index of its own, so that keys are 32 bits wide.
-    Rows without fingerprint take no part; ``n_links`` counts the other fingerprints within the distance.
+    Rows without fingerprint take no part; ``n_links`` counts the other fingerprints within the distance,
+    ``earlier`` is the least id below the row's own within it, null where there is none.
     """
     # written before it is filtered: a filter on a Python column would be pushed below it and compute it twice
     rows = materialize(prints.select(F.col(id_col).alias("id"), F.col(print_col).alias("fp")), "fingerprints").where("id IS NOT NULL AND fp IS NOT NULL")
@@ -148,9 +149,12 @@ def near_duplicate_classes(prints: DataFrame, id_col: str, print_col: str, dista
     # Spark takes the index for as small as the prints: without the hint it would gather all keys on the driver to broadcast them
     links = materialize(one.join(two.hint("merge"), "key").where("a < b").where(hamming(F.col("f1"), F.col("f2")) <= distance).select("a", "b").distinct(), "links")
     roots = components(links, "a", "b").select(F.col("v").alias("rep"), "root")
-    count = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("near")), F.struct(F.col("b").alias("rep"), F.col("a").alias("near"))))
+    count = links.select(ends.alias("e")).select("e.*").groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"), F.min("near").alias("near"))
     classes = distinct.join(roots, "rep", "left").join(count, "rep", "left").where("n > 1 OR root IS NOT NULL")
-    return rows.join(classes.select("fp", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "fp").select("id", "class_id", "n_links")
+    # every fingerprint stands for its least id, so the least of its own and of those linked is the first within the distance
+    found = rows.join(classes.select("fp", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("rep", "near").alias("first")), "fp")
+    return found.select("id", "class_id", "n_links", F.when(F.col("first") < F.col("id"), F.col("first")).alias("earlier"))
 
 
 def shingle_classes(sets: DataFrame, id_col: str, set_col: str, tenths: int = 8) -> DataFrame:

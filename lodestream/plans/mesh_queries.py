@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import text as X, vectors as V
 from lodestream.operators import graphs as G, structures as T
+from lodestream.operators.skew import hot_keys, join_unique
 from lodestream.plans.activity_queries import _SQL_CHANNEL, _channel
 from lodestream.plans.graph_queries import _CONTACTS, comm_ties, contacts
 from lodestream.plans.vector_queries import _vectors
+from lodestream.scratch import materialize
 from lodestream.sources.tables import table
 
 _R = lambda c, n=6: F.round(c, n)
@@ -264,12 +266,17 @@ SQL["token_estimates"] = "SELECT source, sum(length(text) // 4)::BIGINT AS n_tok
 
 
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document whether an earlier one (by number) lies within three bits of its term fingerprint: the first of each class stays."""
+    """Every document within three bits of another's term fingerprint: the first earlier one (by number) so near, and its class, of which the first stays.
+
+    ``earlier`` is null where only later ones are so near.  A document that is not listed has no
+    duplicate; nor has one without terms, as it has no fingerprint.
+    """
     from lodestream.operators.similarity import near_duplicate_classes
 
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", V.simhash(X.terms(F.col("text"))).alias("fp"))
-    c = near_duplicate_classes(d, "doc_id", "fp")
-    return c.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_members"), F.min("id").alias("kept"))
+    c = materialize(near_duplicate_classes(d, "doc_id", "fp"), "duplicates")
+    sizes = c.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_members"), F.min("id").alias("kept"))
+    return join_unique(c, sizes, "class_id", hot_keys(c, "class_id")).select(F.col("id").alias("doc_id"), "earlier", "class_id", "n_members", "kept")
 
 
 QUERIES = {

@@ -155,7 +155,7 @@ def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
     prints = d.where(F.size("w") > 0).select("doc_id", V.simhash(F.array_distinct(grams)).alias("fp"))
-    return near_duplicate_classes(prints, "doc_id", "fp")
+    return near_duplicate_classes(prints, "doc_id", "fp").drop("earlier")
 
 
 def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

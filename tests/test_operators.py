@@ -124,6 +124,41 @@ def test_simhash_index_is_not_broadcast(spark, tmp_path, monkeypatch):
     assert {(r["id"], r["class_id"]) for r in rows} >= {(0, 0), (2, 0), (1, 1), (3, 1)}
 
 
+def test_first_earlier_duplicate_of_every_document(spark, tmp_path, monkeypatch):
+    from lodestream.plans import mesh_queries as Q
+
+    # 1, 2, 4 are a chain that its last closes, 5, 6, 7 one in order, 8 copies 7; 9, 10 are four bits apart, the others have no fingerprint
+    base = 0x0F0F_3C3C_55AA_1234
+    prints = {1: 0, 2: 0b111111, 4: 0b000111, 5: base, 6: base ^ 0b111, 7: base ^ 0b111111, 8: base ^ 0b111111, 9: ~base, 10: ~base ^ 0b1111 << 59, 11: None, 12: None}
+    words = {f"term{k}": p for k, p in prints.items() if p is not None}
+    monkeypatch.setattr(Q.V, "simhash", lambda terms: F.create_map(*[F.lit(x) for w in words.items() for x in w])[F.try_element_at(terms, F.lit(1))])
+    spark.createDataFrame([(k, f"term{k}" if p is not None else "to be") for k, p in prints.items()] + [(13, None), (None, "term1")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = Q.duplicate_texts(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["earlier"] or 0, r["class_id"], r["n_members"], r["kept"]) for r in rows) == [(1, 0, 1, 3, 1), (2, 0, 1, 3, 1), (4, 1, 1, 3, 1), (5, 0, 5, 4, 5), (6, 5, 5, 4, 5), (7, 6, 5, 4, 5), (8, 6, 5, 4, 5)]
+
+
+def test_duplicate_texts_against_brute_force(spark, tmp_path):
+    from lodestream.plans import mesh_queries as Q
+
+    rnd = random.Random(9)
+    texts = [[f"word{rnd.randrange(3000)}" for _ in range(300)] for _ in range(12)]
+    for t in texts[:12]:
+        for changed in (0, 1, 1, 2, 4, 8):
+            u = list(t)
+            for k in rnd.sample(range(len(u)), changed):
+                u[k] = f"new{rnd.randrange(1000)}"
+            texts.append(u)
+    rnd.shuffle(texts)
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fp = {r[0]: r[1] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", V.simhash(X.terms(F.col("text")))).collect()}
+    near = {k: [j for j in fp if j != k and bin((fp[j] ^ fp[k]) & (1 << 64) - 1).count("1") <= 3] for k in fp}
+    rows = Q.duplicate_texts(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["earlier"] for r in rows} == {k: min((j for j in n if j < k), default=None) for k, n in near.items() if n}
+    cls = {r["doc_id"]: r["class_id"] for r in rows}
+    assert len(cls) == len(rows) and all(cls[j] == cls[k] for k in cls for j in near[k]) and any(r["earlier"] is None for r in rows)
+    assert all(r["kept"] == r["class_id"] and r["n_members"] == list(cls.values()).count(r["class_id"]) for r in rows)
+
+
 def test_hashed_search_recall(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", V.doubles(F.col("embedding")).alias("v"))
     q = rows.where("vec_id % 100 = 0")
